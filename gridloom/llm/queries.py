@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, dac, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op8_simhash": simhash.op8_simhash,
+        "op10_token_files": dac.op10_token_files,
     }
 
 
