@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, simhash
+from . import bpe, dac, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op8_simhash": simhash.op8_simhash,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_files": dac.op10_token_files,
     }
 
