@@ -69,7 +69,7 @@ def test_odd_rows(spark, odd):
     assert len(rows) == len(odd) and rows[5].row == 1 and rows[5].node == "r"
     assert [rows[i]._removed for i, _ in odd] == brute(odd)
     assert rows[3].text is None and rows[3]._n_lines == 0 and rows[5].text == "" and rows[2].text == "Same line here ok\n\n "
-    assert rows[8].text == "" and rows[9].text == "ab\nabc" and rows[6].text == ""
+    assert rows[8].text == "" and rows[9].text == "ab\nabc" and rows[None].text == ""
 
 
 def test_repeated_rows_and_empty_table(spark):
