@@ -51,7 +51,7 @@ class LibraryPieces(Pieces):
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        new = list(set((text or "").split(" ")[1:]).difference(self))
+        new = [x for x in set((text or "").split(" ")[1:]) if x not in self]
         if len(new) > 1:
             for piece, found in zip(new, self.tokenizer.encode_batch_fast([" " + x for x in new], add_special_tokens=False), strict=True):
                 self[piece] = array("i", found.ids).tobytes()
