@@ -3,8 +3,9 @@
 A paragraph (a line that is not blank) hashes to a wide vector:
 
 * eight lanes modulo 2^32: the low and high halves of its XXH64 under four keys, which tell multisets apart, and
-* 128 lanes modulo 2^16: for each of its runs of three words, the bits of two 64-bit hashes of the run, which make
-  multisets comparable, and one lane with the number of runs.
+* 128 lanes modulo 2^16: for each of its different runs of three words, the bits of two 64-bit hashes of the run,
+  which make multisets comparable, and one lane with the number of these runs. (A run that a paragraph repeats counts
+  once there, so that repetitive paragraphs do not outweigh all others.)
 
 A document's fingerprint is the sum of its paragraphs' vectors, lane by lane, modulo the lane's power. So the order
 of paragraphs does not matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
@@ -44,13 +45,13 @@ def strong(text: F.Column) -> F.Column:
 
 
 def runs(text: F.Column) -> F.Column:
-    """A 64-bit hash of each run of three words inside a paragraph (of the whole paragraph if it has fewer)."""
+    """A 64-bit hash of each different run of three words inside a paragraph (of the whole paragraph if it has fewer)."""
 
     def of(paragraph: F.Column) -> F.Column:
         w = F.transform(F.filter(F.split(paragraph, "[ \\t\\x0B\\f\\r]+", -1), lambda x: x != ""), lambda x: F.xxhash64(x))
         pairs = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
         triples = F.zip_with(F.slice(pairs, 1, F.greatest(F.size(w) - 2, F.lit(0))), F.slice(w, 3, 1 << 30), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(w) >= 3, triples).otherwise(F.array(F.xxhash64(paragraph)))
+        return F.when(F.size(w) >= 3, F.array_distinct(triples)).otherwise(F.array(F.xxhash64(paragraph)))
 
     return F.flatten(F.transform(paragraphs(text), of))
 
