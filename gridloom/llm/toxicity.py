@@ -33,6 +33,8 @@ MAX_FEATURES, MIN_G2, MIN_DOCS = 1_000, 15.0, 4
 #: Lengths of the word beginnings that are features; a beginning is written with a star at its end.
 PREFIXES = (4, 5, 6, 7, 8)
 GRADES = 4
+#: Texts whose features a worker holds at once.
+CHUNK = 32
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -106,11 +108,13 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600, rate: f
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [words(t) for t in batch.column(1).to_pylist()]
-        counts = [features(x) for x in found]
-        columns = [pa.array([*map(len, found)], pa.int32()), pa.array([[*c] for c in counts], pa.list_(pa.string())), pa.array([[*c.values()] for c in counts], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "total", "words", "counts"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNK):
+            batch = whole.slice(at, CHUNK)
+            found = [words(t) for t in batch.column(1).to_pylist()]
+            counts = [features(x) for x in found]
+            columns = [pa.array([*map(len, found)], pa.int32()), pa.array([[*c] for c in counts], pa.list_(pa.string())), pa.array([[*c.values()] for c in counts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "total", "words", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", grade: str | None = None, max_rows: int = MAX_ROWS) -> Model:
