@@ -20,11 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 KEYS, SKETCHES = 4, 2
 LANES = 64 * SKETCHES
 WIDE, NARROW = 1 << 32, 1 << 16
 #: Documents whose ids agree beyond this many low bits are ordered in one task.
 BUCKET_BITS = 9
+#: The same for buckets of buckets.
+UPPER_BITS = 12
 _LEAST = -(1 << 63)
 
 
@@ -108,17 +112,17 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
 def _following(ids: DataFrame, bits: int) -> DataFrame:
     """``at`` (a bucket of ids) and ``next``, the nearest lower bucket that has documents; null for the lowest.
 
-    Buckets are gathered into buckets of buckets until one is left, so no task orders more than 2^bits rows."""
-    buckets = ids.select(F.shiftright("id", bits).alias("at")).distinct()
+    Buckets are gathered into buckets of buckets until one is left, so no task orders more than 2^UPPER_BITS rows."""
+    buckets, _ = common.written(ids.select(F.shiftright("id", bits).alias("at")).distinct(), "id-buckets")
     span = buckets.agg(F.min("at"), F.max("at")).first()
-    if span[0] is None or span[0] == span[1]:
-        return buckets.withColumn("next", F.lit(None).cast("long"))
-    up = buckets.withColumn("up", F.shiftright("at", bits))
-    above = _following(buckets.select(F.col("at").alias("id")), bits).select(F.col("at").alias("up"), F.col("next").alias("up_next"))
+    if span[0] is None or span[1] - span[0] < 1 << UPPER_BITS:
+        return buckets.withColumn("next", F.lead("at").over(Window.orderBy(F.desc("at"))))
+    up = buckets.withColumn("up", F.shiftright("at", UPPER_BITS))
+    above = _following(buckets.select(F.col("at").alias("id")), UPPER_BITS).select(F.col("at").alias("up"), F.col("next").alias("up_next"))
     tops = up.groupBy("up").agg(F.max("at").alias("top"))
     over = above.join(tops.select(F.col("up").alias("up_next"), F.col("top").alias("other")), "up_next", "left").select("up", "other")
     chained = up.withColumn("near", F.lead("at").over(Window.partitionBy("up").orderBy(F.desc("at"))))
-    return chained.join(over, "up", "left").select("at", F.coalesce("near", "other").alias("next"))
+    return common.written(chained.join(over, "up", "left").select("at", F.coalesce("near", "other").alias("next")), "id-buckets")[0]
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
