@@ -50,12 +50,9 @@ class LibraryPieces(Pieces):
     def _whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str | None) -> bytes:
-        new = [x for x in set((text or "").split(" ")[1:]) if x not in self]
-        if len(new) > 1:
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast([" " + x for x in new], add_special_tokens=False), strict=True):
-                self[piece] = array("i", found.ids).tobytes()
-        return super().ids(text)
+    def encode_all(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([" " + x for x in pieces], add_special_tokens=False)
+        return [array("i", x.ids).tobytes() for x in found]
 
 
 class Tokenizing:
