@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, linededup, multiset, simhash, toxicity
+from . import bpe, dac, linededup, mixing, multiset, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_mixing": mixing.op2_mixing,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op7_fingerprints": multiset.op7_fingerprints,
         "op8_simhash": simhash.op8_simhash,
@@ -17,4 +18,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mixing": mixing.ORACLE_SQL,
+    }
