@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, linededup, mixing, multiset, simhash, toxicity
+from . import bpe, dac, embed, linededup, mixing, multiset, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_mixing": mixing.op2_mixing,
         "op3_line_dedup": linededup.op3_line_dedup,
+        "op5_embedding_near_dups": embed.op5_embedding_near_dups,
         "op7_fingerprints": multiset.op7_fingerprints,
         "op8_simhash": simhash.op8_simhash,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -20,4 +21,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.ORACLE_SQL,
+        "op5_embedding_near_dups": embed.ORACLE_SQL,
     }
