@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, embed, linededup, mixing, multiset, simhash, toxicity
+from . import bpe, dac, embed, linededup, mixing, multiset, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_mixing": mixing.op2_mixing,
         "op3_line_dedup": linededup.op3_line_dedup,
+        "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_embedding_near_dups": embed.op5_embedding_near_dups,
         "op7_fingerprints": multiset.op7_fingerprints,
         "op8_simhash": simhash.op8_simhash,
@@ -21,5 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.ORACLE_SQL,
+        "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_embedding_near_dups": embed.ORACLE_SQL,
     }
