@@ -92,7 +92,11 @@ class Codec:
     def _ready(self) -> None:
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.compiled = regex.compile(self.pattern)
-        self.pieces = Pieces(self.encode_text)
+        self.pieces = Pieces(self.encode_text, self.encode_piece)
+        self.pairs = [-1] * 65_536
+        for token, i in self.ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = i
         self.known: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
@@ -115,6 +119,10 @@ class Codec:
             out.append(found)
         return b"".join(out)
 
+    def encode_piece(self, piece: str) -> bytes:
+        """Packed ids of a piece with a space before it. With letters alone it is one pre-token."""
+        return self.encode_token((" " + piece).encode()) if piece.isalpha() else self.encode_text(" " + piece)
+
     def encode_token(self, piece: bytes) -> bytes:
         whole = self.hash.find(piece)
         if whole >= 0:
@@ -126,12 +134,11 @@ class Codec:
         n, rank = len(piece), self.ranks.get
         if n == 1:
             return [self.ranks[piece]]
-        after, before, now, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n, []
-        for i in range(n - 1):
-            r = rank(piece[i : i + 2])
-            if r is not None:
-                now[i] = r
-                heap.append(r << 32 | i)
+        pairs = self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        heap = [r << 32 | i for i, r in enumerate(now) if r >= 0]
+        now.append(-1)
         heapify(heap)
         while heap:
             top = heappop(heap)

@@ -27,32 +27,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import Pieces
+from .pieces import plain
 
 MAGIC = b"DACTOK01"
 SPAN = 512
 #: Tokens after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 4_000_000
+#: Pieces in a generation of those that a worker knows; this bounds memory and changes no result.
+GENERATION = 450_000
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
-class LibraryPieces(Pieces):
-    """Pieces encoded by the tokenizers library, the unknown ones of a text in one call."""
+class LibraryPieces:
+    """Ids of texts by the tokenizers library, which gets the unknown pieces of a text in one call. Known pieces are
+    held in two generations: when the newer one is full it becomes the older one, and what is asked for again moves
+    back, so that frequent pieces stay."""
 
-    def __init__(self, json: str) -> None:
+    def __init__(self, json: str, limit: int = GENERATION) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        super().__init__(self._whole)
+        self.limit, self.new, self.old = limit, {}, {}
 
-    def _whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode_all(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([" " + x for x in pieces], add_special_tokens=False)
-        return [array("i", x.ids).tobytes() for x in found]
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a text, four bytes each, little-endian; none for null."""
+        if not text:
+            return b""
+        if not plain(text):
+            return self.encode(text)
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        first, *rest = text.split(" ")
+        found = list(map(self.new.get, rest))
+        if None in found:
+            places = [i for i, x in enumerate(found) if x is None]
+            self._learn({rest[i] for i in places})
+            new = self.new
+            for i in places:
+                found[i] = new[rest[i]]
+        return (self.encode(first) if first else b"") + b"".join(found)
+
+    def _learn(self, pieces: set[str]) -> None:
+        unknown = []
+        for piece in pieces:
+            known = self.old.get(piece)
+            if known is None:
+                unknown.append(piece)
+            else:
+                self.new[piece] = known
+        if unknown:
+            made = self.tokenizer.encode_batch_fast([" " + x for x in unknown], add_special_tokens=False)
+            self.new.update((k, array("i", x.ids).tobytes()) for k, x in zip(unknown, made, strict=True))
 
 
 class Tokenizing:

@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 import regex
 
-#: Pieces in a generation of those that a worker remembers; this bounds memory and changes no result.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers before it starts anew; this bounds memory and changes no result.
+REMEMBERED = 400_000
 _WHITE = [c for c in map(chr, range(0x3001)) if regex.match(r"\s", c) or c.isspace()]
 
 
@@ -21,18 +21,16 @@ def plain(text: str) -> bool:
     return not any(c in text and (c + " " in text or " " + c in text) for c in _WHITE)
 
 
-class Pieces:
-    """Ids of texts by their pieces. Known pieces are held in two generations: when the newer one is full it becomes
-    the older one, and what is asked for again moves back, so that frequent pieces stay."""
+class Pieces(dict):
+    """piece -> bytes of its ids when a space stands before it; unknown ones are encoded as they are asked for."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = REMEMBERED) -> None:
-        self.encode, self.limit = encode, limit
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes] | None = None, limit: int = REMEMBERED) -> None:
+        super().__init__()
+        self.encode, self.whole, self.limit = encode, whole or (lambda piece: encode(" " + piece)), limit
 
-    def encode_all(self, pieces: list[str]) -> list[bytes]:
-        """The packed ids of each piece with a space before it."""
-        return [self.encode(" " + x) for x in pieces]
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = found = self.whole(piece)
+        return found
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text, four bytes each, little-endian; none for null."""
@@ -40,28 +38,7 @@ class Pieces:
             return b""
         if not plain(text):
             return self.encode(text)
-        self._age()
+        if len(self) > self.limit:
+            self.clear()
         first, *rest = text.split(" ")
-        found = list(map(self.new.get, rest))
-        if None in found:
-            places = [i for i, x in enumerate(found) if x is None]
-            self._learn({rest[i] for i in places})
-            new = self.new
-            for i in places:
-                found[i] = new[rest[i]]
-        return (self.encode(first) if first else b"") + b"".join(found)
-
-    def _learn(self, pieces: set[str]) -> None:
-        new, old, unknown = self.new, self.old, []
-        for piece in pieces:
-            known = old.get(piece)
-            if known is None:
-                unknown.append(piece)
-            else:
-                new[piece] = known
-        if unknown:
-            new.update(zip(unknown, self.encode_all(unknown), strict=True))
-
-    def _age(self) -> None:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
