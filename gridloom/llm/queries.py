@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dac, embed, linededup, mixing, multiset, simhash, substring, toxicity
+from . import bpe, dac, embed, langid, linededup, mixing, multiset, simhash, substring, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_embedding_near_dups": embed.op5_embedding_near_dups,
+        "op6_language": langid.op6_language,
         "op7_fingerprints": multiset.op7_fingerprints,
         "op8_simhash": simhash.op8_simhash,
         "op9_toxicity": toxicity.op9_toxicity,
