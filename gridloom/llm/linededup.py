@@ -23,7 +23,9 @@ from . import common
 
 K, ROWS, BANDS, LEAST = 8, 4, 10, 0.8
 #: Code points hashed at once; a longer line is hashed alone.
-BLOCK = 4_000_000
+BLOCK = 400_000
+#: Documents whose lines a worker holds at once.
+CHUNK = 256
 #: 64-bit words of the fixed-size filter (4 MB) that tells which lines' texts may be needed.
 FILTER_WORDS = 1 << 19
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -118,9 +120,9 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, list[str]]]:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
+        for at in range(0, whole.num_rows, CHUNK):
             nodes, texts, docs, place = [], [], [], {}
-            for i, _, lines in _rows(whole.slice(at, 1000)):
+            for i, _, lines in _rows(whole.slice(at, CHUNK)):
                 for line in map(normal, lines):
                     if line:
                         name = node(line)
