@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,11 +97,9 @@ def clean_words(text: Column) -> Column:
 
 def udfs() -> dict:
     """The functions without a built-in form, as Arrow-backed UDFs. Deduplicate their inputs first."""
-    import pandas as pd
-
     from . import scalars
 
-    text = lambda f, kind: F.pandas_udf(f, kind)
+    text = F.pandas_udf
 
     def stem_words(s: pd.Series) -> pd.Series:
         return s.map(scalars.stem_words, na_action="ignore")
