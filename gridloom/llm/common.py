@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: A frame is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 100_000
 
@@ -35,6 +40,13 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that a worker holds few rows as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table written by :func:`written` that no frame reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

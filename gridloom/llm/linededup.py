@@ -119,32 +119,31 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, list[str]]]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, CHUNK):
-            nodes, texts, docs, place = [], [], [], {}
-            for i, _, lines in _rows(whole.slice(at, CHUNK)):
-                for line in map(normal, lines):
-                    if line:
-                        name = node(line)
-                        if name not in place:
-                            place[name] = len(texts)
-                            texts.append(line)
-                        nodes.append(name)
-                        docs.append(i)
-            own = bands(texts)[[place[x] for x in nodes]] if nodes else np.zeros((0, BANDS), np.int64)
-            columns = [pa.array(nodes, pa.int64()), pa.array(docs, pa.int64()), *(pa.array(own[:, b]) for b in range(BANDS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "doc", *(f"b{b}" for b in range(BANDS))])
+    for batch in common.slices(batches, CHUNK):
+        nodes, texts, docs, place = [], [], [], {}
+        for i, _, lines in _rows(batch):
+            for line in map(normal, lines):
+                if line:
+                    name = node(line)
+                    if name not in place:
+                        place[name] = len(texts)
+                        texts.append(line)
+                    nodes.append(name)
+                    docs.append(i)
+        own = bands(texts)[[place[x] for x in nodes]] if nodes else np.zeros((0, BANDS), np.int64)
+        columns = [pa.array(nodes, pa.int64()), pa.array(docs, pa.int64()), *(pa.array(own[:, b]) for b in range(BANDS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "doc", *(f"b{b}" for b in range(BANDS))])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches, CHUNK):
         out = [(i, row, k, node(x)) for i, row, lines in _rows(batch) for k, x in enumerate(map(normal, lines)) if x]
         columns = [*zip(*out, strict=True)] or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc", "row", "line", "node"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches, CHUNK):
         a, b, x, y = (c.to_pylist() for c in batch.columns)
         good = [i for i in range(len(a)) if jaccard(x[i], y[i]) >= LEAST]
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
@@ -185,7 +184,7 @@ def texts_of(slim: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
-        for batch in batches:
+        for batch in common.slices(batches, CHUNK):
             found: dict[int, str] = {}
             for _, _, lines in _rows(batch):
                 for line in map(normal, lines):

@@ -64,7 +64,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     columns = list(dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             found = fingerprints(batch.column(columns.index(text)).to_pylist(), size)
             kept = [batch.column(columns.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64))], names=[*keep, name])
@@ -85,7 +85,8 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
     Each probe key's members are linked to its smallest one, after a check of the whole distance.
     """
-    table = distinct.select(F.explode(probes()).alias("key"), "fp")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = distinct.repartition(parts, "fp").select(F.explode(probes()).alias("key"), "fp")
     buckets = table.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("low < high")
     buckets, _ = common.written(buckets, "simhash-keys")
     pairs = buckets.select(F.col("high").alias("a"), F.col("low").alias("b"))

@@ -108,13 +108,11 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600, rate: f
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, CHUNK):
-            batch = whole.slice(at, CHUNK)
-            found = [words(t) for t in batch.column(1).to_pylist()]
-            counts = [features(x) for x in found]
-            columns = [pa.array([*map(len, found)], pa.int32()), pa.array([[*c] for c in counts], pa.list_(pa.string())), pa.array([[*c.values()] for c in counts], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "total", "words", "counts"])
+    for batch in common.slices(batches, CHUNK):
+        found = [words(t) for t in batch.column(1).to_pylist()]
+        counts = [features(x) for x in found]
+        columns = [pa.array([*map(len, found)], pa.int32()), pa.array([[*c] for c in counts], pa.list_(pa.string())), pa.array([[*c.values()] for c in counts], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "total", "words", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", grade: str | None = None, max_rows: int = MAX_ROWS) -> Model:
@@ -174,7 +172,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in common.slices(batches):
             above = [own.exceed(own.score(t)) for t in batch.column(columns.index(text)).to_pylist()]
             likely = [max(range(len(p) + 1), key=lambda k, q=[1.0, *p, 0.0]: (q[k] - q[k + 1], -k)) for p in above]
             found = [pa.array([p[0] for p in above]), pa.array([sum(p) for p in above]), pa.array(likely, pa.int32()), pa.array([p[0] >= least for p in above])]
