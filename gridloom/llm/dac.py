@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,71 +35,90 @@ SPAN = 512
 #: Tokens after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 4_000_000
 #: Pieces in a generation of those that a worker knows; this bounds memory and changes no result.
-GENERATION = 450_000
+GENERATION = 200_000
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others,
+    in order, for the letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class LibraryPieces:
-    """Ids of texts by the tokenizers library, which gets the unknown pieces of a text in one call. Known pieces are
-    held in two generations: when the newer one is full it becomes the older one, and what is asked for again moves
-    back, so that frequent pieces stay."""
+    """Ids of texts by the tokenizers library's model, which gets each unknown pre-token once.
 
-    def __init__(self, json: str, limit: int = GENERATION) -> None:
+    Pieces between single spaces, and pre-tokens, are held in two generations: when the newer one is full it becomes
+    the older one, and what is asked for again moves back, so that frequent ones stay. Without a pattern of pre-tokens
+    the library encodes whole texts."""
+
+    def __init__(self, json: str, pattern: str | None, limit: int = GENERATION) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit, self.new, self.old = limit, {}, {}
+        self.find = regex.compile(pattern).findall if pattern else None
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.limit, self.new, self.old, self.tokens, self.old_tokens = limit, {}, {}, {}, {}
 
     def encode(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.find is None:
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._token, self.find(text)))
+
+    def _token(self, token: str) -> bytes:
+        found = self.tokens.get(token)
+        if found is None:
+            found = self.old_tokens.get(token)
+            if found is None:
+                letters = token.encode().decode("latin-1").translate(self.letters)
+                found = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            self.tokens[token] = found
+        return found
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text, four bytes each, little-endian; none for null."""
         if not text:
             return b""
-        if not plain(text):
+        if len(self.tokens) > self.limit:
+            self.old_tokens, self.tokens = self.tokens, {}
+        if self.find is None or not plain(text):
             return self.encode(text)
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         first, *rest = text.split(" ")
         found = list(map(self.new.get, rest))
         if None in found:
-            places = [i for i, x in enumerate(found) if x is None]
-            self._learn({rest[i] for i in places})
-            new = self.new
-            for i in places:
-                found[i] = new[rest[i]]
+            new, old = self.new, self.old
+            for i, value in enumerate(found):
+                if value is None:
+                    piece = rest[i]
+                    value = new.get(piece) or old.get(piece)
+                    if value is None:
+                        value = self._token(" " + piece) if piece.isalpha() else b"".join(map(self._token, self.find(" " + piece)))
+                    new[piece] = found[i] = value
         return (self.encode(first) if first else b"") + b"".join(found)
 
-    def _learn(self, pieces: set[str]) -> None:
-        unknown = []
-        for piece in pieces:
-            known = self.old.get(piece)
-            if known is None:
-                unknown.append(piece)
-            else:
-                self.new[piece] = known
-        if unknown:
-            made = self.tokenizer.encode_batch_fast([" " + x for x in unknown], add_special_tokens=False)
-            self.new.update((k, array("i", x.ids).tobytes()) for k, x in zip(unknown, made, strict=True))
-
 
 class Tokenizing:
-    """What executors need to encode: the tokenizer's JSON (as large as its file) and the library made of it once."""
+    """What executors need to encode: the tokenizer's JSON (as large as its file), the pattern of its pre-tokens if it is
+    byte-level without a normaliser, and the library made of it once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str | None = None) -> None:
         with open(path, encoding="utf-8") as file:
             self.json = file.read()
+        self.pattern = pattern
         self.made: LibraryPieces | None = None
 
     def __getstate__(self) -> dict:
-        return {"json": self.json, "made": None}
+        return {"json": self.json, "pattern": self.pattern, "made": None}
 
     def ids(self, text: str | None) -> bytes:
         if self.made is None:
-            self.made = LibraryPieces(self.json)
+            self.made = LibraryPieces(self.json, self.pattern)
         return self.made.ids(text)
 
 
@@ -263,5 +283,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token files."""
     import public_tokenizers
 
-    tokenizing = spark.sparkContext.broadcast(Tokenizing(public_tokenizers.path("byte_bpe_50k.json")))
+    tokenizing = spark.sparkContext.broadcast(Tokenizing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
     return checks(write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizing, common.fresh_path(spark, "token-files")))

@@ -21,6 +21,13 @@ def library():
     return found
 
 
+@pytest.fixture(scope="module")
+def made():
+    with open(PATH, encoding="utf-8") as file:
+        json = file.read()
+    return {p: dac.LibraryPieces(json, p, limit=20) for p in (None, public_tokenizers.PATTERN)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700), max_size=4))
 def test_round_trip(texts):
@@ -31,6 +38,13 @@ def test_round_trip(texts):
     assert shard.doc_ids == list(range(len(texts))) and shard.starts[-1] == len(flat)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sdl.1éß<|>"), st.characters(exclude_categories=["Cs"]))))
+@pytest.mark.parametrize("pattern", [None, public_tokenizers.PATTERN])
+def test_pieces_like_whole_texts(library, made, pattern, text):
+    assert np.frombuffer(made[pattern].ids(text), "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bad_shards():
     with pytest.raises(ValueError):
         dac.Shard(b"something else, and long enough for a header")
@@ -57,7 +71,7 @@ def test_query_over_documents(spark, library, sf_dir):
 def test_odd_rows_and_many_shards(spark, library):
     rows = [(5, "<|endoftext|> a  b\n c"), (2, None), (9, ""), (None, "x y"), (2, "again"), (7, " lead " * 3000), (3, "tail ")]
     df = spark.createDataFrame([(*r, "tokens", 1) for r in rows], "doc_id long, text string, path string, base int")
-    shared = spark.sparkContext.broadcast(dac.Tokenizing(PATH))
+    shared = spark.sparkContext.broadcast(dac.Tokenizing(PATH, public_tokenizers.PATTERN))
     manifest = dac.write(df, shared, common.fresh_path(spark, "t"), shard_tokens=4)
     assert manifest.count() >= 4
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
