@@ -25,7 +25,7 @@ K, ROWS, BANDS, LEAST = 8, 4, 10, 0.8
 #: Code points hashed at once; a longer line is hashed alone.
 BLOCK = 400_000
 #: Documents whose lines a worker holds at once.
-CHUNK = 256
+CHUNK = 128
 #: 64-bit words of the fixed-size filter (4 MB) that tells which lines' texts may be needed.
 FILTER_WORDS = 1 << 19
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -191,7 +191,7 @@ def texts_of(slim: DataFrame, pairs: DataFrame) -> DataFrame:
                     name = node(line)
                     if line and int(bits[(name >> 6) & (FILTER_WORDS - 1)]) >> (name & 63) & 1 and name not in seen:
                         found[name] = line
-            if len(seen) < 500_000:  # only so many are remembered; a line met again is sent again
+            if len(seen) < 100_000:  # only so many are remembered; a line met again is sent again
                 seen |= found.keys()
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], names=["node", "line"])
 

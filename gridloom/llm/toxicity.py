@@ -78,33 +78,47 @@ class Model:
         return sum(self.weights[w] * value(n, len(found)) for w, n in sorted(counts.items()) if w in self.weights)
 
 
-def fit(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix by its entries."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    @staticmethod
+    def of(x: np.ndarray) -> Sparse:
+        rows, columns = np.nonzero(x)
+        return Sparse(rows, columns, x[rows, columns], x.shape)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.columns], self.shape[0])
+
+    def transposed_dot(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * g[self.rows], self.shape[1])
+
+
+def fit(x: Sparse, grade: np.ndarray, grades: int, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the mean log likelihood with squared decay."""
     n, d = x.shape
-    k = grades - 1
+    k, every = grades - 1, np.arange(n)
     at = np.zeros(d + k)
     at[d:] = [1.0, *[0.5] * (k - 1)]
     m, v = np.zeros_like(at), np.zeros_like(at)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, steps + 1):
-        gaps = np.log1p(np.exp(at[d + 1 :]))
-        theta = at[d] + np.concatenate([[0], np.cumsum(gaps)])
-        s = x @ at[:d]
-        cdf = np.concatenate([np.zeros((n, 1)), sigmoid(theta[None] - s[:, None]), np.ones((n, 1))], axis=1)
+        theta = at[d] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(at[d + 1 :])))])
+        cdf = np.concatenate([np.zeros((n, 1)), sigmoid(theta[None] - x.dot(at[:d])[:, None]), np.ones((n, 1))], axis=1)
         slope = cdf * (1 - cdf)
-        upper, lower = cdf[np.arange(n), grade + 1], cdf[np.arange(n), grade]
-        p = np.maximum(upper - lower, 1e-12)
-        by_score = (slope[np.arange(n), grade + 1] - slope[np.arange(n), grade]) / p  # minus d log p / d s
-        by_theta = np.zeros((n, k + 2))
-        by_theta[np.arange(n), grade + 1] += slope[np.arange(n), grade + 1] / p
-        by_theta[np.arange(n), grade] -= slope[np.arange(n), grade] / p
-        g_theta = -by_theta[:, 1:-1].mean(axis=0)
+        p = np.maximum(cdf[every, grade + 1] - cdf[every, grade], 1e-12)
+        above, below = slope[every, grade + 1] / p, slope[every, grade] / p
+        g_theta = (np.bincount(grade, below, grades)[1:] - np.bincount(grade, above, grades)[:-1]) / n
         tail = np.cumsum(g_theta[::-1])[::-1]
-        grad = np.concatenate([x.T @ by_score / n + decay * at[:d], [tail[0]], tail[1:] * sigmoid(at[d + 1 :])])
+        grad = np.concatenate([x.transposed_dot(above - below) / n + decay * at[:d], tail[:1], tail[1:] * sigmoid(at[d + 1 :])])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         at -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    gaps = np.log1p(np.exp(at[d + 1 :]))
-    return at[:d], at[d] + np.concatenate([[0], np.cumsum(gaps)])
+    return at[:d], at[d] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(at[d + 1 :])))])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,23 +152,25 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ranked = seen.where(f"df >= {MIN_DOCS}").withColumn("g2", F.expr("2 * (" + " + ".join(cells) + ")"))
     picked = ranked.where(f"g2 >= {MIN_G2}").orderBy(F.desc(F.round("g2", 6)), "word").limit(MAX_FEATURES).collect()
     index = {r.word: i for i, r in enumerate(picked)}
-    rows = counted.select("toxic", "total", F.filter(F.arrays_zip("words", "counts"), lambda z: z["words"].isin(list(index) or [""]))).collect()
+    hit = F.filter(F.arrays_zip("words", "counts"), lambda z: z["words"].isin(list(index) or [""]))
+    found = counted.select("toxic", "total", F.xxhash64("words", "counts").alias("h"), hit.alias("hit"))
+    rows = found.select("toxic", "total", "h", F.col("hit.words").alias("words"), F.col("hit.counts").alias("counts")).toPandas()
     common.remove(docs.sparkSession, path)
-    x, leaning, total = np.zeros((n, len(index))), {r.word for r in picked if r.a * n > r.df * n_toxic}, np.zeros(n)
-    hits, y = np.zeros(n), np.array([r[0] for r in rows])
-    for i, r in enumerate(rows):
-        total[i] = max(1, r[1])
-        for z in r[2]:
-            x[i, index[z["words"]]] = value(z["counts"], r[1])
-            hits[i] += z["counts"] * (z["words"] in leaning)
+    rows = rows.sort_values(["toxic", "total", "h"], ignore_index=True)  # the order in which Spark returns rows must not matter
+    sizes = rows["words"].map(len).to_numpy()
+    whose = np.repeat(np.arange(len(rows)), sizes)
+    columns = np.array([index[w] for words in rows["words"] for w in words], np.int64)
+    counts = np.array([c for own in rows["counts"] for c in own], np.float64)
+    total, y = rows["total"].to_numpy(np.float64), rows["toxic"].to_numpy(np.int64)
+    x = Sparse(whose, columns, np.log1p(100 * counts / (total[whose] + 10)), (len(rows), len(index)))
     if grade is None:
-        density = hits / total
+        leaning = np.array([r.a * n > r.df * n_toxic for r in picked], np.float64)
+        density = np.bincount(whose, counts * leaning[columns], len(rows)) / np.maximum(total, 1)
         cuts = np.quantile(density[y > 0], np.arange(1, GRADES - 1) / (GRADES - 1))
         grades, n_grades = np.where(y > 0, 1 + np.searchsorted(cuts, density, side="left"), 0), GRADES
     else:
         grades, n_grades = np.maximum(y, 0), int(y.max()) + 1
-    order = np.lexsort((*x.T[:8], total, grades))  # the order in which Spark returns rows must not matter
-    weights, thresholds = fit(x[order], grades[order].astype(int), n_grades)
+    weights, thresholds = fit(x, grades, n_grades)
     return Model({w: float(weights[i]) for w, i in index.items()}, [float(t) for t in thresholds])
 
 

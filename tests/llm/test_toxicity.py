@@ -11,7 +11,7 @@ def test_fit_recovers_an_ordinal_model():
     rng = np.random.default_rng(3)
     x = rng.random((4000, 3))
     y = np.searchsorted([1.0, 3.0], x @ [4.0, -2.0, 0.0] + rng.logistic(size=4000))
-    w, theta = toxicity.fit(x, y, 3, decay=0.0)
+    w, theta = toxicity.fit(toxicity.Sparse.of(x), y, 3, decay=0.0)
     assert np.allclose(w, [4, -2, 0], atol=0.5) and np.allclose(theta, [1, 3], atol=0.5)
 
 
