@@ -24,6 +24,8 @@ from .pieces import Pieces
 
 #: Rows that leave a worker at once; long documents stay small in number.
 ROWS = 512
+#: Pre-tokens in a generation of known ones; this bounds memory and changes no result.
+GENERATION = 200_000
 _LOW = (1 << 32) - 1
 
 
@@ -98,6 +100,7 @@ class Codec:
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = i
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
         return {"tokens": self.tokens, "pattern": self.pattern, "hash": self.hash}
@@ -109,19 +112,23 @@ class Codec:
 
     def encode_text(self, text: str) -> bytes:
         """Packed ids of a text, each pre-token separately."""
-        known, out = self.known, []
-        if len(known) > self.pieces.limit:
-            known.clear()
-        for token in self.compiled.findall(text):
-            found = known.get(token)
-            if found is None:
-                found = known[token] = self.encode_token(token.encode())
-            out.append(found)
-        return b"".join(out)
+        return b"".join(map(self.known_token, self.compiled.findall(text)))
 
     def encode_piece(self, piece: str) -> bytes:
         """Packed ids of a piece with a space before it. With letters alone it is one pre-token."""
-        return self.encode_token((" " + piece).encode()) if piece.isalpha() else self.encode_text(" " + piece)
+        return self.known_token(" " + piece) if piece.isalpha() else self.encode_text(" " + piece)
+
+    def known_token(self, token: str) -> bytes:
+        """Packed ids of a pre-token. Known ones are held in two generations, so that frequent ones stay."""
+        found = self.known.get(token)
+        if found is None:
+            found = self.before.get(token)
+            if found is None:
+                found = self.encode_token(token.encode())
+            if len(self.known) > GENERATION:
+                self.before, self.known = self.known, {}
+            self.known[token] = found
+        return found
 
     def encode_token(self, piece: bytes) -> bytes:
         whole = self.hash.find(piece)
