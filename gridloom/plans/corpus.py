@@ -37,6 +37,7 @@ FIXTURES = {
     "urls": "SELECT DISTINCT 'u' || (l_partkey + l_linenumber) AS url FROM lineitem",
     "toks": """SELECT DISTINCT 'C' || c_custkey AS table_id, w AS token FROM (
         SELECT o_custkey AS c_custkey, 'Q' || EXTRACT(MONTH FROM o_orderdate) AS w FROM orders UNION SELECT o_custkey, o_orderpriority FROM orders UNION SELECT o_custkey, o_orderstatus FROM orders) t""",
+    "dtoks": "SELECT DISTINCT 'C' || o_custkey AS table_id, 'D' || CAST(o_orderdate AS DATE) AS token FROM orders",
     "heads": """SELECT 'P' || p_partkey AS table_id, 0 AS pos, p_name AS header FROM part UNION ALL SELECT 'P' || p_partkey, 1, p_type FROM part
         UNION ALL SELECT 'P' || p_partkey, 2, CASE WHEN p_size > 25 THEN p_type ELSE p_brand END FROM part UNION ALL SELECT 'P' || p_partkey, 3, p_brand FROM part""",
     "feats": """SELECT o_orderkey AS id, o_totalprice AS x1, CAST(o_custkey AS DOUBLE) AS x2, CAST(EXTRACT(MONTH FROM o_orderdate) AS DOUBLE) AS x3, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders""",

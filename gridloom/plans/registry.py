@@ -535,10 +535,10 @@ def cluster_split_by_relations(known, tabs):
     return clustering.split_by_relations(members, clustering.conflict_scores(best), 0.3)
 
 
-@register("""WITH z AS (SELECT table_id, count(*) AS n FROM toks GROUP BY 1) SELECT a.table_id AS source, b.table_id AS target, round(count(*) / (max(x.n) + max(y.n)), 6) AS weight
-    FROM toks a JOIN toks b ON a.token = b.token AND a.table_id <> b.table_id JOIN z x ON x.table_id = a.table_id JOIN z y ON y.table_id = b.table_id GROUP BY 1, 2 HAVING round(count(*) / (max(x.n) + max(y.n)), 6) >= 0.46""", "toks")
+@register("""WITH z AS (SELECT table_id, count(*) AS n FROM dtoks GROUP BY 1) SELECT a.table_id AS source, b.table_id AS target, round(count(*) / (max(x.n) + max(y.n)), 6) AS weight
+    FROM dtoks a JOIN dtoks b ON a.token = b.token AND a.table_id <> b.table_id JOIN z x ON x.table_id = a.table_id JOIN z y ON y.table_id = b.table_id GROUP BY 1, 2 HAVING round(count(*) / (max(x.n) + max(y.n)), 6) >= 0.1""", "dtoks")
 def header_similarity_join(toks):
-    return clustering.similar_headers(toks, 0.46)
+    return clustering.similar_headers(toks, 0.1)
 
 
 _EDGES = "SELECT DISTINCT s AS source, n AS target, 1.0::DOUBLE AS weight FROM lines"
