@@ -247,7 +247,7 @@ class Cell:
 def cell(markup: str) -> Cell:
     """The facts of a cell, from its HTML."""
     root = dom.parse(markup)
-    shown = root.without(_hidden)
+    shown = root.without(_hidden) if "<s" in markup.lower() else root
     box = root.first("th") or root.first("td")
     try:
         wide = int(box.attrs.get("colspan", 1)) if box is not None else 1
@@ -258,7 +258,7 @@ def cell(markup: str) -> Cell:
     count = lambda *names: len(list(root.tags(*names)))
     rest = root.without(_unlinked)
     return Cell(
-        header=header_text(markup),
+        header=header_text(markup, root),
         raw_text=_joined(shown),
         text=re.sub(r"\s+", " ", _joined(shown)).strip(),
         type_text=re.sub(r"\s+", " ", _joined(root)),
@@ -275,9 +275,10 @@ def cell(markup: str) -> Cell:
     )
 
 
-def header_text(markup: str) -> str | None:
-    """The header that a cell holds: "" for an empty one, None for none."""
-    root = dom.parse(re.sub(r"<br/*?\s*?>", " ", markup).replace("\n", " "))
+def header_text(markup: str, root: Tag | None = None) -> str | None:
+    """The header that a cell holds: "" for an empty one, None for none. ``root`` is its tree where known."""
+    if root is None or "\n" in markup or "<br" in markup:
+        root = dom.parse(re.sub(r"<br/*?\s*?>", " ", markup).replace("\n", " "))
     short = root.first("abbr")
     spelled = None if short is None else short.attrs.get("title", "").strip()
     head = root.first("th")
