@@ -113,6 +113,32 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def hashed_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted different shingle hashes of each normalised line."""
+    padded = [x if len(x) >= K else x.ljust(K, "\0") for x in lines]
+    with np.errstate(over="ignore"):
+        h = shingle_hashes(np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)) if padded else np.zeros(0, np.uint64)
+    out, at = [], 0
+    for line in padded:
+        own = np.sort(h[at : at + len(line) - K + 1])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        at += len(line)
+    return out
+
+
+def similar(a: list[str], b: list[str]) -> list[int]:
+    """Which pairs of lines have a similarity of at least ``LEAST``. Equal hashes stand for equal shingles, so the
+    hashes' similarity is never below the lines' own but by a collision inside one line; those that pass are
+    compared exactly."""
+    found = []
+    for i, (x, y) in enumerate(zip(hashed_sets(a), hashed_sets(b), strict=True)):
+        both = np.sort(np.concatenate([x, y]), kind="stable")
+        common_ = int(np.count_nonzero(both[1:] == both[:-1]))
+        if common_ >= LEAST * (len(both) - common_) - 1 and jaccard(a[i], b[i]) >= LEAST:
+            found.append(i)
+    return found
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, list[str]]]:
     for i, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         yield i, row, (text or "").split("\n")
@@ -145,7 +171,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, CHUNK):
         a, b, x, y = (c.to_pylist() for c in batch.columns)
-        good = [i for i in range(len(a)) if jaccard(x[i], y[i]) >= LEAST]
+        good = similar(x, y)
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
 
@@ -185,12 +211,10 @@ def texts_of(slim: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
         for batch in common.slices(batches, CHUNK):
-            found: dict[int, str] = {}
-            for _, _, lines in _rows(batch):
-                for line in map(normal, lines):
-                    name = node(line)
-                    if line and int(bits[(name >> 6) & (FILTER_WORDS - 1)]) >> (name & 63) & 1 and name not in seen:
-                        found[name] = line
+            lines = [x for _, _, own in _rows(batch) for x in map(normal, own) if x]
+            names = np.fromiter(map(node, lines), np.int64, len(lines))
+            wanted = bits[(names >> 6) & (FILTER_WORDS - 1)] >> (names & 63) & 1
+            found = {int(names[i]): lines[i] for i in np.flatnonzero(wanted) if int(names[i]) not in seen}
             if len(seen) < 100_000:  # only so many are remembered; a line met again is sent again
                 seen |= found.keys()
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], names=["node", "line"])

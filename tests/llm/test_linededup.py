@@ -57,6 +57,17 @@ def test_recall_at_the_threshold():
     assert total > 200 and hits >= 0.98 * total
 
 
+def test_similar_pairs_are_exact():
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choices("abcé ", k=rng.randrange(1, 120)))
+        at = rng.randrange(len(a))
+        pairs.append((a, a[:at] + "x" * rng.randrange(4) + a[at:]))
+    assert ld.similar(*map(list, zip(*pairs, strict=True))) == [i for i, (a, b) in enumerate(pairs) if ld.jaccard(a, b) >= ld.LEAST]
+    assert ld.similar([], []) == []
+
+
 @pytest.fixture
 def odd():
     long = "x yz " * 60_000
