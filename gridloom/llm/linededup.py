@@ -5,13 +5,14 @@ A line's shingles are its runs of ``K`` characters (a shorter line is one shingl
 shingle's hash in one of ``BANDS * ROWS`` bins and keeps the least of each; empty bins borrow from their right.
 A pair of Jaccard similarity 0.8 shares one of the bands with probability 0.995, one of 0.9 with 0.9999. In each
 band's bucket the least node is compared with every other one by the exact Jaccard similarity of the shingle sets;
-links of 0.8 or more go to distributed union-find, and of each component the first line stays (least document id,
-then least line number). Lines that are empty or white space are never removed.
+those that are not like it are then compared with every member of the bucket, in blocks and pairs of blocks. Links of
+0.8 or more go to distributed union-find, and of each component the first line stays (least document id, then least
+line number). Lines that are empty or white space are never removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ K, ROWS, BANDS, LEAST = 8, 4, 10, 0.8
 BLOCK = 400_000
 #: Documents whose lines a worker holds at once.
 CHUNK = 128
+#: Nodes of a bucket that are compared at once, all with all; larger buckets are dealt in blocks and pairs of blocks.
+MEMBERS = 256
 #: 64-bit words of the fixed-size filter (4 MB) that tells which lines' texts may be needed.
 FILTER_WORDS = 1 << 19
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,7 +87,12 @@ def _signatures(lines: list[str], bins: int) -> np.ndarray:
     cell = whose * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     least = np.full(len(lines) * bins, _FULL)
     np.minimum.at(least, cell, h)
-    least = least.reshape(-1, bins)
+    return filled(least.reshape(-1, bins))
+
+
+def filled(least: np.ndarray) -> np.ndarray:
+    """Bin minima, one row for each set; empty bins borrow from their right."""
+    bins = least.shape[1]
     for _ in range(bins):
         empty = least == _FULL
         if not empty.any():
@@ -95,11 +103,16 @@ def _signatures(lines: list[str], bins: int) -> np.ndarray:
 
 def bands(lines: list[str]) -> np.ndarray:
     """The band keys (signed) of normalised lines, one column for each band."""
-    sig = signatures(lines)
-    out = np.empty((len(lines), BANDS), np.uint64)
+    return band_keys(signatures(lines))
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The band keys (signed) of rows of bin minima, ``ROWS`` minima to a band."""
+    count = sig.shape[1] // ROWS
+    out = np.empty((len(sig), count), np.uint64)
     with np.errstate(over="ignore"):
-        for b in range(BANDS):
-            h = np.full(len(lines), b + 1, np.uint64)
+        for b in range(count):
+            h = np.full(len(sig), b + 1, np.uint64)
             for r in range(ROWS):
                 h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
             out[:, b] = h
@@ -179,17 +192,137 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(doc_id).cast("long"), text).alias("row"), F.col(text).alias("text"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.explode(F.array(*(c for c in nodes.columns if c[0] == "b"))).alias("key"), "node")
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """key, ``low``, ``high`` and ``n`` of each bucket of two or more nodes."""
+    found = _keys(nodes).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    return common.written(found, "line-buckets")[0]
+
+
+def candidates(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of different nodes: in each bucket of each band, the least node and every other one."""
-    table = nodes.select(F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("key"), "node")
-    buckets = table.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
-    buckets, _ = common.written(buckets, "line-buckets")
-    pairs = buckets.select(F.col("high").alias("a"), F.col("low").alias("b"))
-    full = common.bounded(buckets.where("n > 2").select("key", "low", "high"))
-    more = table.join(full, "key").where("node <> low AND node <> high").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    known = buckets(nodes) if known is None else known
+    pairs = known.select(F.col("high").alias("a"), F.col("low").alias("b"))
+    full = common.bounded(known.where("n > 2").select("key", "low", "high"))
+    more = _keys(nodes).join(full, "key").where("node <> low AND node <> high").select(F.col("node").alias("a"), F.col("low").alias("b"))
     return common.written(pairs.unionByName(more).distinct(), "line-pairs")[0]
 
 
+def unsettled(nodes: DataFrame, known: DataFrame, stars: DataFrame, block: int = MEMBERS) -> DataFrame:
+    """Who is still to be compared: groups ``g`` of nodes, ``split`` (only nodes of unequal ``side`` are compared) and
+    ``settled`` (linked to the least of its bucket). stars: the links (a, b) of :func:`candidates` that held.
+
+    The members of a bucket that are not like its least one meet each other and all others there, in blocks and pairs
+    of blocks of about ``block`` nodes; those that are like it are linked already and do not meet each other."""
+    full = common.bounded(known.where("n > 2").select("key", "low"))
+    met = _keys(nodes).join(full, "key").join(stars.select(F.col("a").alias("node"), F.col("b").alias("low"), F.lit(True).alias("_like")), ["node", "low"], "left")
+    members, _ = common.written(met.select("key", "node", F.coalesce("_like", F.col("node") == F.col("low")).alias("settled")), "line-members")
+    sizes = members.groupBy("key").agg(F.count_if("settled").alias("s"), F.count_if(~F.col("settled")).alias("r")).where("r > 0")
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int").alias(f"{c}_parts")
+    sized, _ = common.written(sizes.select("key", parts("s"), parts("r")), "line-sizes")
+    dealt = members.join(common.bounded(sized), "key")
+    spot = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    own = F.when(F.col("settled"), F.col("r_parts") + spot("s_parts")).otherwise(spot("r_parts"))
+    last = F.when(F.col("settled"), F.col("r_parts")).otherwise(F.col("r_parts") + F.col("s_parts")) - 1
+    both = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return both.select(F.xxhash64("key", low, high).alias("g"), (low != high).alias("split"), (F.col("own") == high).alias("side"), "settled", "node")
+
+
+def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many members each two of the sets (arrays without repeats) have in common."""
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    met = times[where] > 1
+    place = (np.cumsum(times > 1) - 1)[where[met]]
+    row, order = row[met], np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        own = slice(*np.searchsorted(place, [at, at + columns]))
+        has = np.zeros((len(sets), columns), np.float32)
+        has[row[own], place[own] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def group_links(nodes: list[int], bodies: list, settled: list[bool], side: list[bool] | None, sets: list[np.ndarray], least: float, exact: Callable | None) -> list[tuple[int, int]]:
+    """Links that connect all pairs of a group's nodes of similarity ``least`` or more: all pairs, or with sides those
+    across. Settled nodes are connected with each other from the start. ``exact`` compares two bodies again."""
+    both, sizes = shared_counts(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    x, y = np.triu_indices(len(sets), 1)
+    n = both[x, y]
+    near = n >= least * (sizes[x] + sizes[y] - n) - (1 if exact else 1e-9)
+    flags = np.array(settled)
+    near &= ~(flags[x] & flags[y])
+    if side is not None:
+        near &= np.array(side)[x] != np.array(side)[y]
+    head, found = [*range(len(nodes))], []
+
+    def find(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    for i in np.flatnonzero(flags)[1:]:
+        head[find(int(i))] = find(int(np.flatnonzero(flags)[0]))
+    for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+        if (p := find(i)) != (q := find(j)) and (exact is None or exact(bodies[i], bodies[j]) >= least):
+            head[p] = q
+            found.append((nodes[i], nodes[j]))
+    return found
+
+
+def compared(sets: Callable, least: float, exact: Callable | None) -> Callable:
+    """A function over batches of g, split, side, settled, node, body, sorted by g: the links of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, found = [], []
+
+        def close() -> None:
+            if len(rows) > 1:
+                _, split, side, settled, nodes, bodies = zip(*rows, strict=True)
+                found.extend(group_links(nodes, bodies, settled, side if split[0] else None, sets(bodies), least, exact))
+            rows.clear()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found.clear()
+            return made
+
+        for batch in batches:
+            for part in common.slices([batch], MEMBERS):
+                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if rows and rows[0][0] != row[0]:
+                        close()
+                    rows.append(row)
+            yield out()
+        close()
+        yield out()
+
+    return run
+
+
+def linked(nodes: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], verify: Callable, sets: Callable, least: float, exact: Callable | None, block: int = MEMBERS) -> DataFrame:
+    """Links (a, b) that connect all pairs of nodes of similarity ``least`` or more that share a bucket.
+
+    nodes: node and its band keys ``b0``... ``bodies_of`` gives node and ``body`` of all nodes in the pairs it gets;
+    ``verify`` works on batches of a, b and their bodies."""
+    known = buckets(nodes)
+    pairs = candidates(nodes, known)
+    bodies, _ = common.written(bodies_of(pairs), "line-texts")
+    first = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+    both = first.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    stars, _ = common.written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "line-stars")
+    rest = unsettled(nodes, known, stars, block).join(bodies, "node").select("g", "split", "side", "settled", "node", "body")
+    more = rest.repartition("g").sortWithinPartitions("g").mapInArrow(compared(sets, least, exact), "a long, b long")
+    return stars.unionByName(common.written(more, "line-more")[0])
+
+
 def _word(column: str) -> F.Column:
     return F.shiftrightunsigned(column, 6).bitwiseAND(FILTER_WORDS - 1)
 
@@ -223,12 +356,9 @@ def texts_of(slim: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes whose shingle sets have a Jaccard similarity of at least ``LEAST``."""
-    pairs = candidates(nodes)
-    texts, _ = common.written(texts_of(slim, pairs), "line-texts")
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    """Pairs of nodes that connect all whose shingle sets have a Jaccard similarity of at least ``LEAST``."""
+    keyed = nodes.select("node", *(f"b{b}" for b in range(BANDS)))
+    return linked(keyed, lambda pairs: texts_of(slim, pairs).withColumnRenamed("line", "body"), _verify, hashed_sets, LEAST, jaccard)
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

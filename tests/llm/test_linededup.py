@@ -88,3 +88,21 @@ def test_repeated_rows_and_empty_table(spark):
     rows = ld.dedup(df).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [(1, "one line of text")] * 3 + [(2, "")]
     assert ld.dedup(df.limit(0)).count() == 0
+
+
+def test_pairs_in_a_family_below_the_threshold(spark):
+    """Lines that share much of their text without being similar, among them pairs that are."""
+    rng = random.Random(11)
+    draw = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    base, lines = draw(240), []
+    for n in range(400):
+        lines.append(base + draw(35))
+        if n % 10 == 0:
+            at = rng.randrange(50, 150)
+            lines.append(lines[-1][:at] + draw(14) + lines[-1][at + 14 :])
+    assert ld.jaccard(lines[0], lines[2]) < ld.LEAST <= ld.jaccard(lines[0], lines[1])
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    done = ld.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r._removed for r in done.collect()}
+    assert [got[i] for i, _ in rows] == brute(rows)
