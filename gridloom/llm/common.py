@@ -59,6 +59,16 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of docs for each ``component`` of found (row, the xxhash64 of a text, and component): the one with the
+    smallest id, a null id only where the whole component has none; ties go to the least hash of the row."""
+    key, own = "_row_of_near_dedup", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    slim = docs.select(F.xxhash64(text).alias("row"), F.col(doc_id).alias("id"), own.alias("own"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own"))["own"]
+    kept = slim.join(found, "row").groupBy("component").agg(least.alias(key)).select(key)
+    return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star contraction.
 
