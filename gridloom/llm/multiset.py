@@ -11,7 +11,8 @@ A document's fingerprint is the sum of its paragraphs' vectors, lane by lane, mo
 of paragraphs does not matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 Likeness: with n runs and counts c of one bits, 2c - n is a random projection of the multiset of runs; the cosine of
-two such vectors, cut to 0..1, estimates that of the multisets (standard error about 0.09 at zero). Equal fingerprints
+two such vectors, cut to 0..1, estimates that of the multisets (standard error about 0.09 at zero). It is taken from
+the counts before they are cut modulo 2^16, so that it holds for texts of any length. Equal fingerprints
 have likeness one.
 """
 
@@ -72,11 +73,12 @@ def sums(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     return flat.groupBy(*keys).agg(F.count("h0").alias("n"), *lanes)
 
 
-def lanes(prefix: str = "") -> F.Column:
-    """The narrow lanes of :func:`sums` as an array: the number of runs, then 128 counts, modulo 2^16."""
+def lanes(prefix: str = "", modulus: int = NARROW) -> F.Column:
+    """The narrow lanes of :func:`sums` as an array: the number of runs, then 128 counts, modulo 2^16 (or 2^32, which
+    no text's counts reach)."""
     packed = F.array(*(f"{prefix}s{i}" for i in range(32 * SKETCHES)))
-    both = F.concat(F.transform(packed, lambda s: s.bitwiseAND(NARROW - 1)), F.transform(packed, lambda s: F.shiftrightunsigned(s, 32).bitwiseAND(NARROW - 1)))
-    return F.concat(F.array(F.col(f"{prefix}n").bitwiseAND(NARROW - 1)), both)
+    both = F.concat(F.transform(packed, lambda s: s.bitwiseAND(modulus - 1)), F.transform(packed, lambda s: F.shiftrightunsigned(s, 32).bitwiseAND(modulus - 1)))
+    return F.concat(F.array(F.col(f"{prefix}n").bitwiseAND(modulus - 1)), both)
 
 
 def printed(wide: F.Column, narrow: F.Column) -> F.Column:
@@ -90,8 +92,13 @@ def combine(a: F.Column, b: F.Column, modulus: int, sign: int = 1) -> F.Column:
     return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND(modulus - 1))
 
 
+def cut(whole: F.Column) -> F.Column:
+    """Narrow lanes modulo 2^16 of uncut ones."""
+    return F.transform(whole, lambda x: x.bitwiseAND(NARROW - 1))
+
+
 def likeness(a: F.Column, b: F.Column) -> F.Column:
-    """Likeness (0 to 1) of two arrays of narrow lanes. Lanes of both empty documents are alike."""
+    """Likeness (0 to 1) of two arrays of uncut narrow lanes (cut ones are too small beyond 65,535 runs). Lanes of both empty documents are alike."""
     centred = lambda v: F.transform(F.slice(v, 2, LANES), lambda c: 2.0 * c - F.element_at(v, 1))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     x, y = centred(a), centred(b)
@@ -150,7 +157,7 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     each = rows.select("bucket", "place", "doc_id", "n_chars", F.explode(kinds).alias("x")).select("bucket", "place", "doc_id", "n_chars", F.col("x.kind").alias("kind"), F.col("x.body").alias("body"))
     keyed = each.select("bucket", "place", "doc_id", "n_chars", "kind", F.when(F.col("kind") == 1, F.sha2("body", 256)).alias("sha"), strong(F.col("body")).alias("wide"), runs(F.col("body")).alias("runs"))
     keys = ["bucket", "place", "doc_id", "n_chars", "kind", "sha", "wide"]
-    added = sums(keyed, keys, "runs").select(*keys, lanes().alias("narrow"))
+    added = sums(keyed, keys, "runs").select(*keys, lanes(modulus=WIDE).alias("narrow"))
     pick = lambda k, c: F.first(F.when(F.col("kind") == k, F.col(c)), ignorenulls=True)
     one = added.groupBy("bucket", "place", "doc_id", "n_chars").agg(pick(1, "sha").alias("edited_sha256"), *(pick(k, c).alias(f"{c}{k}") for k in range(3) for c in ("wide", "narrow")))
     follow = F.coalesce(F.lead("narrow0").over(Window.partitionBy("bucket").orderBy("place")), F.col("narrow2"))
@@ -158,8 +165,8 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         "doc_id",
         "n_chars",
         "edited_sha256",
-        printed(F.col("wide0"), F.col("narrow0")).alias("fingerprint"),
-        printed(F.col("wide1"), F.col("narrow1")).alias("edited_fingerprint"),
+        printed(F.col("wide0"), cut(F.col("narrow0"))).alias("fingerprint"),
+        printed(F.col("wide1"), cut(F.col("narrow1"))).alias("edited_fingerprint"),
         likeness(F.col("narrow0"), F.col("narrow1")).alias("near_edited"),
         likeness(F.col("narrow0"), F.col("follow")).alias("near_next"),
     )

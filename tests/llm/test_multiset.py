@@ -74,3 +74,9 @@ def test_order_insertion_and_deletion(spark):
 def test_runs(spark, text):
     row = spark.createDataFrame([(text,)], "text string").select(ms.runs(F.col("text"))).first()
     assert len(row[0]) == (0 if not text else 1 + text.count("\n"))
+
+
+def test_likeness_of_long_texts(spark):
+    texts = ["\n".join(" ".join(f"{c}{i}x{k}" for k in range(1000)) for i in range(101)) for c in "ab"]
+    got = ms.compared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.near_next < 0.4 and 0.2 < r.near_edited < 0.8 for r in got)
