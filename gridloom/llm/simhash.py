@@ -119,8 +119,10 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one of each group of near duplicates. Of repeated ids in a
-    group, one row stays; a row with a null id stays only where its whole group has none."""
-    found = classes(docs, doc_id, text).where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_kept")).distinct()
-    same = docs[doc_id].eqNullSafe(found["_kept"])
-    return docs.join(found, same, "left_semi").dropDuplicates([doc_id])
+    """One row of docs for each group of :func:`classes`: the one with the smallest id, a null id only where the whole
+    group has none. Ties go to the least hash of the row."""
+    slim = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    marked, _ = common.written(with_fingerprint(slim, "text", ["row"]).dropDuplicates(["row"]), "simhash-rows")
+    joined = common.components(links(marked.select("fp").distinct()))
+    found = marked.join(joined, marked.fp == joined.node, "left").select("row", F.coalesce("component", "fp").alias("component"))
+    return common.one_of_each(docs, found, doc_id, text)

@@ -5,7 +5,7 @@ import re
 import pandas as pd
 import xxhash
 
-from gridloom.llm import simhash
+from gridloom.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string, fp string, node string, key int"
 
@@ -76,3 +76,10 @@ def test_chain_of_links(spark):
                 todo += p - reached
                 reached |= p
     assert reached == set(fps[:4])
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue cyan pink grey", "oak elm ash fir yew box"]
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3])], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(df).collect()) == sorted(texts)
+    assert sorted(r.text for r in neardup.keep_one(df).collect()) == sorted(texts)
