@@ -52,20 +52,23 @@ class LibraryPieces:
 
     Pieces between single spaces, and pre-tokens, are held in two generations: when the newer one is full it becomes
     the older one, and what is asked for again moves back, so that frequent ones stay. Without a pattern of pre-tokens
-    the library encodes whole texts."""
+    the library encodes whole texts. With ``added``, a text that holds the string of one of the tokenizer's added
+    tokens is encoded whole, in which that string is one token; without, special tokens' strings are ordinary text."""
 
-    def __init__(self, json: str, pattern: str | None, limit: int = GENERATION) -> None:
+    def __init__(self, json: str, pattern: str | None, limit: int = GENERATION, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.holds = regex.compile("|".join(map(regex.escape, strings))).search if strings else lambda text: None
         self.find = regex.compile(pattern).findall if pattern else None
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.limit, self.new, self.old, self.tokens, self.old_tokens = limit, {}, {}, {}, {}
 
     def encode(self, text: str) -> bytes:
-        if self.find is None:
+        if self.find is None or self.holds(text):
             return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._token, self.find(text)))
 
@@ -85,7 +88,7 @@ class LibraryPieces:
             return b""
         if len(self.tokens) > self.limit:
             self.old_tokens, self.tokens = self.tokens, {}
-        if self.find is None or not plain(text):
+        if self.find is None or self.holds(text) or not plain(text):
             return self.encode(text)
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
@@ -105,20 +108,20 @@ class LibraryPieces:
 
 class Tokenizing:
     """What executors need to encode: the tokenizer's JSON (as large as its file), the pattern of its pre-tokens if it is
-    byte-level without a normaliser, and the library made of it once."""
+    byte-level without a normaliser, whether its added tokens count in texts, and the library made of it once."""
 
-    def __init__(self, path: str, pattern: str | None = None) -> None:
+    def __init__(self, path: str, pattern: str | None = None, added: bool = False) -> None:
         with open(path, encoding="utf-8") as file:
             self.json = file.read()
-        self.pattern = pattern
+        self.pattern, self.added = pattern, added
         self.made: LibraryPieces | None = None
 
     def __getstate__(self) -> dict:
-        return {"json": self.json, "pattern": self.pattern, "made": None}
+        return {"json": self.json, "pattern": self.pattern, "added": self.added, "made": None}
 
     def ids(self, text: str | None) -> bytes:
         if self.made is None:
-            self.made = LibraryPieces(self.json, self.pattern)
+            self.made = LibraryPieces(self.json, self.pattern, added=self.added)
         return self.made.ids(text)
 
 
@@ -283,5 +286,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token files."""
     import public_tokenizers
 
-    tokenizing = spark.sparkContext.broadcast(Tokenizing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+    tokenizing = spark.sparkContext.broadcast(Tokenizing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True))
     return checks(write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizing, common.fresh_path(spark, "token-files")))

@@ -77,3 +77,11 @@ def test_odd_rows_and_many_shards(spark, library):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted(map(tuple, dac.checks(manifest).collect()), key=key) == expected(rows, library)
     assert dac.checks(dac.write(df.limit(0), shared, common.fresh_path(spark, "t"))).count() == 0
+
+
+def test_added_tokens_as_the_library_has_them(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    texts = ["one text<|endoftext|>another text", " <|endoftext|>", "<|endoftext|> a  b\n c<|endoftext|>", "<|endof text|> plain", "no token"]
+    assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, dac.op10_token_files(spark, str(tmp_path)).collect())) == sorted(expected(list(enumerate(texts)), library))
