@@ -23,6 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.ORACLE_SQL,
-        "op4_substring_dedup": substring.op4_substring_dedup,
         "op5_embedding_near_dups": embed.ORACLE_SQL,
     }
