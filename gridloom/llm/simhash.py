@@ -1,8 +1,6 @@
-"""SimHash near-dedup by multi-index hashing.
+"""SimHash near-dedup by probes of whole fingerprints.
 
-A fingerprint is cut into segments. In each segment the Hamming ball of radius one is enumerated; a probe key is the
-fingerprint with that segment replaced by a member of the ball (the fingerprint itself is the common centre of all
-balls). Two fingerprints at distance two or less have a probe key in common, and two that have one in common are at
+The probe keys of a fingerprint are itself and its 64 neighbours at distance one; there are no tables by segment. Two fingerprints at distance two or less have a probe key in common, and two that have one in common are at
 distance two or less. So the members of a key form a star around their smallest fingerprint: each member is verified
 against it by its whole distance, and the links grow with the rows, never with the square of a group.
 """
@@ -81,10 +79,13 @@ def probes(name: str = "fp", segments: int = SEGMENTS) -> F.Column:
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) between the fingerprints ``fp`` of a frame without repeats, enough to connect all within two bits.
+    """Links (a, b) between the fingerprints ``fp`` of a frame without repeats, enough to connect all within two bits
+    (or fewer, by radius; the keys do not reach further, so a larger one is an error).
 
     Each probe key's members are linked to its smallest one, after a check of the whole distance.
     """
+    if radius > 2:
+        raise ValueError("probe keys find links of two bits at most")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = distinct.repartition(parts, "fp").select(F.explode(probes()).alias("key"), "fp")
     buckets = table.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("low < high")

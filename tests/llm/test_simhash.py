@@ -3,6 +3,7 @@
 import re
 
 import pandas as pd
+import pytest
 import xxhash
 
 from gridloom.llm import neardup, simhash
@@ -83,3 +84,8 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3])], "doc_id long, text string")
     assert sorted(r.text for r in simhash.keep_one(df).collect()) == sorted(texts)
     assert sorted(r.text for r in neardup.keep_one(df).collect()) == sorted(texts)
+
+
+def test_no_wider_radius(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
