@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,12 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
 from .pieces import Pieces
 
 #: Rows that leave a worker at once; long documents stay small in number.
 ROWS = 512
-#: Pre-tokens in a generation of known ones; this bounds memory and changes no result.
-GENERATION = 200_000
 _LOW = (1 << 32) - 1
 
 
@@ -84,23 +84,29 @@ class PerfectHash:
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary and pre-token pattern. Its caches stay out of pickles."""
+    """Encoder and decoder for one vocabulary and pre-token pattern. What only encoding needs is made when it is asked
+    for, and stays out of pickles."""
 
     def __init__(self, tokens: list[bytes], pattern: str) -> None:
         self.tokens, self.pattern = tokens, pattern
         self.hash = PerfectHash(tokens)
-        self._ready()
 
-    def _ready(self) -> None:
-        self.ranks = {t: i for i, t in enumerate(self.tokens)}
-        self.compiled = regex.compile(self.pattern)
-        self.pieces = Pieces(self.encode_text, self.encode_piece)
-        self.pairs = [-1] * 65_536
+    @cached_property
+    def ranks(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.tokens)}
+
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(regex.compile(self.pattern).findall, self.encode_token)
+
+    @cached_property
+    def pairs(self) -> list[int]:
+        """The ids of tokens of two bytes, by these; -1 for the others."""
+        out = [-1] * 65_536
         for token, i in self.ranks.items():
             if len(token) == 2:
-                self.pairs[token[0] << 8 | token[1]] = i
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+                out[token[0] << 8 | token[1]] = i
+        return out
 
     def __getstate__(self) -> dict:
         return {"tokens": self.tokens, "pattern": self.pattern, "hash": self.hash}
@@ -108,29 +114,10 @@ class Codec:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.hash.keys = self.tokens
-        self._ready()
-
-    def encode_text(self, text: str) -> bytes:
-        """Packed ids of a text, each pre-token separately."""
-        return b"".join(map(self.known_token, self.compiled.findall(text)))
-
-    def encode_piece(self, piece: str) -> bytes:
-        """Packed ids of a piece with a space before it. With letters alone it is one pre-token."""
-        return self.known_token(" " + piece) if piece.isalpha() else self.encode_text(" " + piece)
-
-    def known_token(self, token: str) -> bytes:
-        """Packed ids of a pre-token. Known ones are held in two generations, so that frequent ones stay."""
-        found = self.known.get(token)
-        if found is None:
-            found = self.before.get(token)
-            if found is None:
-                found = self.encode_token(token.encode())
-            if len(self.known) > GENERATION:
-                self.before, self.known = self.known, {}
-            self.known[token] = found
-        return found
-
-    def encode_token(self, piece: bytes) -> bytes:
+
+    def encode_token(self, token: str) -> bytes:
+        """Packed ids of a pre-token: the perfect hash for those in the vocabulary, merges for the rest."""
+        piece = token.encode()
         whole = self.hash.find(piece)
         if whole >= 0:
             return whole.to_bytes(4, "little")
@@ -237,6 +224,29 @@ def decode(df: DataFrame, shared, ids: str = "ids", out: str = "decoded", keep:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def checked(df: DataFrame, shared, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of df (all by default), ``n_tokens``, ``ids`` and ``round_trip``: whether the ids decode to the
+    text's bytes. One pass, so that no decoded text leaves its worker. Nulls, repeats and long texts as in
+    :func:`encode`; a ``keep`` column named like one of the new ones is an error."""
+    keep = df.columns if keep is None else keep
+    columns = list(dict.fromkeys([*keep, text]))
+    for name in ("n_tokens", "ids", "round_trip"):
+        _out_name(df.select(*keep), name)
+    new = [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("round_trip", T.BooleanType(), False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in common.slices(batches, ROWS // 2):
+            texts = batch.column(columns.index(text)).to_pylist()
+            packed = [own.pieces.ids(x) for x in texts]
+            exact = [own.decode(np.frombuffer(ids, "<i4").tolist()) == (x or "").encode() for ids, x in zip(packed, texts, strict=True)]
+            sizes = np.array([len(x) // 4 for x in packed], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), pa.array(sizes), ids, pa.array(exact, pa.bool_())], names=[*keep, "n_tokens", "ids", "round_trip"])
+
+    return df.select(*columns).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new]))
+
+
 def digests(docs: DataFrame, shared, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode again, and digest both: one row for each row of docs."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

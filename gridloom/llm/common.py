@@ -41,10 +41,23 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that a worker holds few rows as Python objects at once."""
+    """Batches of at most so many rows, so that a worker holds few rows as Python objects at once. After the last one
+    the worker, which other tasks use again, gives free memory back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    _give_back()
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -69,13 +82,19 @@ def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Da
     return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
+#: A node with more than this share of all edges is crowded; so there are fewer than twice its inverse of them.
+CROWDED = 1 / 500
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star contraction.
 
     edges: two columns ``a`` and ``b`` of one orderable type. Returns ``node`` and ``component`` (its smallest node)
     for every node that has an edge to another one. Each round is two grouped minima (combined before the shuffle) and
-    two joins on the node, so a node that has a third of all edges is never gathered in one task. Rounds are written
-    to the shared folder. Null ends and loops are left out; an empty graph has no components.
+    two joins on the node. The minima of crowded nodes, 1,000 at most, are broadcast, so that their edges stay where they
+    are; so a node that has a third of all edges is never gathered in one task. Rounds, whose number grows with the
+    logarithm of the longest path, are written to the shared folder. Null ends and loops are left out; an empty graph has
+    no components.
     """
     spark = edges.sparkSession
     kind = edges.schema["a"].dataType
@@ -87,10 +106,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        after, next_path = written(_small_star(_large_star(now)), "edges")
+        large, between = written(_large_star(now, seen[0]), "edges")
+        after, next_path = written(_small_star(large, large.count()), "edges")
         state = _state(after)
         done = state == seen
         remove(spark, path)
+        remove(spark, between)
         now, path, seen = after, next_path, state
         if done:
             break
@@ -105,16 +126,25 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _beside(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """rows (a, b) with the ``m`` of their node a in least (a, m, n); n: the node's edges, of so many in all."""
+    if edges <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(least.select("a", "m")), "a")
+    crowd = F.broadcast(least.where(F.col("n") > edges * CROWDED).select("a", F.col("m").alias("_m")))
+    marked = rows.join(crowd, "a", "left")
+    rest = marked.where("_m IS NULL").select("a", "b").join(least.select("a", "m"), "a")
+    return marked.where("_m IS NOT NULL").select("a", "b", F.col("_m").alias("m")).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours. Edges have a > b."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     larger = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return larger.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = edges.unionByName(larger).groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _beside(larger, least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of these neighbours."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _beside(edges, least, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

@@ -28,14 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import plain
+from .pieces import BUDGET, Pieces
 
 MAGIC = b"DACTOK01"
 SPAN = 512
 #: Tokens after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 4_000_000
-#: Pieces in a generation of those that a worker knows; this bounds memory and changes no result.
-GENERATION = 200_000
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -48,80 +46,47 @@ def _byte_letters() -> dict[int, str]:
 
 
 class LibraryPieces:
-    """Ids of texts by the tokenizers library's model, which gets each unknown pre-token once.
+    """Ids of texts as the tokenizers library gives them, whose model gets each unknown pre-token once (see
+    :class:`pieces.Pieces`). Without a pattern of pre-tokens the library encodes whole texts; so it does a text that
+    holds the string of one of the tokenizer's added tokens, in which that string is one token."""
 
-    Pieces between single spaces, and pre-tokens, are held in two generations: when the newer one is full it becomes
-    the older one, and what is asked for again moves back, so that frequent ones stay. Without a pattern of pre-tokens
-    the library encodes whole texts. With ``added``, a text that holds the string of one of the tokenizer's added
-    tokens is encoded whole, in which that string is one token; without, special tokens' strings are ordinary text."""
-
-    def __init__(self, json: str, pattern: str | None, limit: int = GENERATION, added: bool = False) -> None:
+    def __init__(self, json: str, pattern: str | None, budget: int = BUDGET) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = not added
-        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.holds = regex.compile("|".join(map(regex.escape, strings))).search if strings else lambda text: None
-        self.find = regex.compile(pattern).findall if pattern else None
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.limit, self.new, self.old, self.tokens, self.old_tokens = limit, {}, {}, {}, {}
-
-    def encode(self, text: str) -> bytes:
-        if self.find is None or self.holds(text):
-            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._token, self.find(text)))
+        self.pieces = Pieces(regex.compile(pattern).findall, self._token, budget) if pattern else None
 
     def _token(self, token: str) -> bytes:
-        found = self.tokens.get(token)
-        if found is None:
-            found = self.old_tokens.get(token)
-            if found is None:
-                letters = token.encode().decode("latin-1").translate(self.letters)
-                found = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            self.tokens[token] = found
-        return found
+        letters = token.encode().decode("latin-1").translate(self.letters)
+        return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text, four bytes each, little-endian; none for null."""
-        if not text:
-            return b""
-        if len(self.tokens) > self.limit:
-            self.old_tokens, self.tokens = self.tokens, {}
-        if self.find is None or self.holds(text) or not plain(text):
-            return self.encode(text)
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        first, *rest = text.split(" ")
-        found = list(map(self.new.get, rest))
-        if None in found:
-            new, old = self.new, self.old
-            for i, value in enumerate(found):
-                if value is None:
-                    piece = rest[i]
-                    value = new.get(piece) or old.get(piece)
-                    if value is None:
-                        value = self._token(" " + piece) if piece.isalpha() else b"".join(map(self._token, self.find(" " + piece)))
-                    new[piece] = found[i] = value
-        return (self.encode(first) if first else b"") + b"".join(found)
+        if text and (self.pieces is None or self.holds(text)):
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.pieces.ids(text) if text else b""
 
 
 class Tokenizing:
     """What executors need to encode: the tokenizer's JSON (as large as its file), the pattern of its pre-tokens if it is
-    byte-level without a normaliser, whether its added tokens count in texts, and the library made of it once."""
+    byte-level without a normaliser, and the library made of it once."""
 
-    def __init__(self, path: str, pattern: str | None = None, added: bool = False) -> None:
+    def __init__(self, path: str, pattern: str | None = None) -> None:
         with open(path, encoding="utf-8") as file:
             self.json = file.read()
-        self.pattern, self.added = pattern, added
+        self.pattern = pattern
         self.made: LibraryPieces | None = None
 
     def __getstate__(self) -> dict:
-        return {"json": self.json, "pattern": self.pattern, "added": self.added, "made": None}
+        return {"json": self.json, "pattern": self.pattern, "made": None}
 
     def ids(self, text: str | None) -> bytes:
         if self.made is None:
-            self.made = LibraryPieces(self.json, self.pattern, added=self.added)
+            self.made = LibraryPieces(self.json, self.pattern)
         return self.made.ids(text)
 
 
@@ -286,5 +251,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the token files."""
     import public_tokenizers
 
-    tokenizing = spark.sparkContext.broadcast(Tokenizing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True))
+    tokenizing = spark.sparkContext.broadcast(Tokenizing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
     return checks(write(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizing, common.fresh_path(spark, "token-files")))

@@ -8,11 +8,14 @@ follows. Texts in which a space stands beside other white space are encoded whol
 from __future__ import annotations
 
 from collections.abc import Callable
+from sys import getsizeof
 
 import regex
 
-#: Pieces that a worker remembers before it starts anew; this bounds memory and changes no result.
-REMEMBERED = 300_000
+#: Bytes that a generation of remembered strings may hold; this bounds memory and changes no result.
+BUDGET = 40_000_000
+#: What an entry costs besides its key and value, and the longest key in code points that is remembered.
+ENTRY, LONGEST = 110, 64
 _WHITE = [c for c in map(chr, range(0x3001)) if regex.match(r"\s", c) or c.isspace()]
 
 
@@ -21,24 +24,56 @@ def plain(text: str) -> bool:
     return not any(c in text and (c + " " in text or " " + c in text) for c in _WHITE)
 
 
-class Pieces(dict):
-    """piece -> bytes of its ids when a space stands before it; unknown ones are encoded as they are asked for."""
+class Remembered(dict):
+    """string -> bytes, made as it is asked for. Two generations of ``budget`` bytes each: a full one becomes the older
+    one, and what is asked for again moves back, so that frequent strings stay. Long strings are made each time."""
 
-    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes] | None = None, limit: int = REMEMBERED) -> None:
+    def __init__(self, make: Callable[[str], bytes], budget: int = BUDGET) -> None:
         super().__init__()
-        self.encode, self.whole, self.limit = encode, whole or (lambda piece: encode(" " + piece)), limit
+        self.make, self.budget, self.older, self.held = make, budget, {}, 0
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = found = self.whole(piece)
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = found
+            self.held += ENTRY + getsizeof(key) + getsizeof(found)
+            if self.held > self.budget:
+                self.older, self.held = dict(self), 0
+                self.clear()
         return found
 
+
+class Pieces:
+    """Packed ids of texts (four bytes each, little-endian) from an encoder of single pre-tokens.
+
+    find: the pre-tokens of a text; encode: the packed ids of one. A piece is remembered as it stands after a space, so
+    pre-tokens that begin with one are remembered without it; the others are remembered apart."""
+
+    def __init__(self, find: Callable[[str], list[str]], encode: Callable[[str], bytes], budget: int = BUDGET) -> None:
+        self.find, self.encode = find, encode
+        self.tokens, self.pieces = Remembered(encode, budget // 4), Remembered(self._piece, budget)
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece of letters is one pre-token with the space before it."""
+        if piece.isalpha():
+            return self.encode(" " + piece)
+        first, *rest = self.find(" " + piece)
+        first = self.encode(first) if len(first) == len(piece) + 1 else self.after_space(first)
+        return first + b"".join(map(self.tokens.__getitem__, rest))
+
+    def after_space(self, token: str) -> bytes:
+        return self.pieces[token[1:]] if token[0] == " " and token[1:].isalpha() else self.tokens[token]
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.after_space, self.find(text)))
+
     def ids(self, text: str | None) -> bytes:
-        """The ids of a text, four bytes each, little-endian; none for null."""
+        """The ids of a text; none for null."""
         if not text:
             return b""
         if not plain(text):
-            return self.encode(text)
-        if len(self) > self.limit:
-            self.clear()
+            return self.whole(text)
         first, *rest = text.split(" ")
-        return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        return (self.whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))

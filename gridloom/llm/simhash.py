@@ -1,13 +1,19 @@
-"""SimHash near-dedup by probes of whole fingerprints.
+"""SimHash near-dedup by multi-index hashing.
 
-The probe keys of a fingerprint are itself and its 64 neighbours at distance one; there are no tables by segment. Two fingerprints at distance two or less have a probe key in common, and two that have one in common are at
-distance two or less. So the members of a key form a star around their smallest fingerprint: each member is verified
-against it by its whole distance, and the links grow with the rows, never with the square of a group.
+A fingerprint is cut into segments, each with a table of its own. With m segments, two fingerprints within r bits are
+within r // m bits in one of the first r % m + 1 segments, or nearer in one of the others; so balls of these radii are
+enumerated inside each segment, the table's matches are fetched, and whole distances are verified. Of two values that
+differ only the greater probes, which halves the balls and loses no pair.
+
+A key that many fingerprints share is cut again: those within r bits agree in one of r + 1 pieces of their other bits.
+So a group that one task compares has few members, or fingerprints that agree in all but ten bits. Of a group only
+links that connect it are emitted, fewer than it has members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +25,12 @@ from pyspark.sql import types as T
 from . import common
 
 SEED = 42
-SEGMENTS = 4
+SEGMENTS = 2
 BITS = 64
+#: Members of a key beyond which it is cut again, and the free bits at which it never is.
+CROWD, FREE = 2_048, 10
+#: Fingerprints that are compared at once.
+SIDE = 2_048
 
 
 def words(text: str | None) -> list[bytes]:
@@ -70,30 +80,117 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def probes(name: str = "fp", segments: int = SEGMENTS) -> F.Column:
-    """The fingerprint and, segment by segment, the members of the segment's Hamming ball of radius one put in it."""
-    width = BITS // segments
-    balls = [[1 << (s * width + i) for i in range(width)] for s in range(segments)]
-    masks = [0, *(m - (1 << 64) if m >= 1 << 63 else m for ball in balls for m in ball)]
-    return F.transform(F.array(*map(F.lit, masks)), lambda mask: F.col(name).bitwiseXOR(mask))
-
+def segments(m: int) -> list[list[int]]:
+    """The bits of each of m segments of a fingerprint."""
+    ends = [BITS * i // m for i in range(m + 1)]
+    return [list(range(a, b)) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _mask(bits: Iterable[int]) -> int:
+    whole = sum(1 << b for b in bits)
+    return whole - (1 << BITS) if whole >> (BITS - 1) else whole
+
+
+def tables(distinct: DataFrame, radius: int = 2, m: int = SEGMENTS, probes: bool = True) -> DataFrame:
+    """The rows of all tables, and of all probes if these are asked for: ``mask`` (the segment's bits), ``at`` (the value that is looked up in it, with
+    the other bits as in ``fp``), ``probe`` (false for the table's own row) and ``fp``."""
+    every = []
+    for i, bits in enumerate(segments(m)):
+        ball = radius // m - (i > radius % m)
+        if ball >= 0:
+            every += [(_mask(bits), _mask(c), n > 0) for n in range(ball + 1 if probes else 1) for c in combinations(bits, n)]
+    each = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("mask"), F.lit(x).cast("long").alias("flip"), F.lit(p).alias("probe")) for a, x, p in every))).alias("k")
+    at = F.col("fp").bitwiseXOR(F.col("k.flip"))
+    dealt = distinct.select("fp", each).select("k.mask", at.alias("at"), "k.probe", "fp")
+    part = lambda c: F.shiftrightunsigned(F.col(c).bitwiseAND(F.col("mask")), 1)  # noqa: E731  unsigned order but for the last bit
+    last = lambda c: F.col(c).bitwiseAND(F.col("mask")).bitwiseAND(F.lit(1))
+    return dealt.where(~F.col("probe") | (part("at") < part("fp")) | ((part("at") == part("fp")) & (last("at") < last("fp"))))
+
+
+def _pieces(mask: int, radius: int) -> list[int]:
+    """The mask with each of radius + 1 pieces of its other bits added."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    ends = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [_mask(b for b in range(BITS) if mask >> b & 1 or b in free[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+
+
+def dealt(distinct: DataFrame, radius: int, m: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """The rows of :func:`tables` with ``key``; keys of more than ``crowd`` members are cut until they have fewer or
+    ``FREE`` bits are left. Each cut triples the rows of crowded keys only."""
+    key = lambda df: df.withColumn("key", F.col("at").bitwiseAND(F.col("mask")))
+    now, own, done, masks = key(tables(distinct, radius, m)), key(tables(distinct, radius, m, False)), None, [_mask(bits) for bits in segments(m)]
+    while True:
+        members = own.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+        free = [m for m in masks if BITS - (m % (1 << BITS)).bit_count() > FREE]
+        crowded, _ = common.written(members.where(F.col("mask").isin(free)).select("mask", "key"), "simhash-crowded")
+        if crowded.isEmpty():
+            return now if done is None else done.unionByName(now)
+        hint = common.bounded(crowded)
+        rest = now.join(hint, ["mask", "key"], "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        cut = F.create_map(*(x for m in free for x in (F.lit(m).cast("long"), F.array(*(F.lit(p).cast("long") for p in _pieces(m % (1 << BITS), radius))))))
+        again = now.join(hint, ["mask", "key"], "left_semi").select(F.explode(cut[F.col("mask")]).alias("mask"), "at", "probe", "fp")
+        now = key(common.written(again, "simhash-cut")[0])
+        own, masks = now.where(~F.col("probe")), [p for m in free for p in _pieces(m % (1 << BITS), radius)]
+
+
+def group_links(fp: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links of at most ``radius`` bits that connect all linked members and probes of one key: member with member, probe
+    with member. fp: unsigned."""
+    head = list(range(len(fp)))
+
+    def find(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    found, own, every = [], np.flatnonzero(~probe), np.arange(len(fp))
+    for x in range(0, len(own), SIDE):
+        for y in range(0, len(every), SIDE):
+            a, b = own[x : x + SIDE], every[y : y + SIDE]
+            near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius
+            for i, j in zip(*np.nonzero(near), strict=True):
+                if (p := find(int(a[i]))) != (q := find(int(b[j]))):
+                    head[p] = q
+                    found.append((int(a[i]), int(b[j])))
+    return found
+
+
+def _compared(radius: int):
+    """Links of each key in batches of mask, key, probe, fp, sorted by mask and key."""
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) between the fingerprints ``fp`` of a frame without repeats, enough to connect all within two bits
-    (or fewer, by radius; the keys do not reach further, so a larger one is an error).
-
-    Each probe key's members are linked to its smallest one, after a check of the whole distance.
-    """
-    if radius > 2:
-        raise ValueError("probe keys find links of two bits at most")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = distinct.repartition(parts, "fp").select(F.explode(probes()).alias("key"), "fp")
-    buckets = table.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("low < high")
-    buckets, _ = common.written(buckets, "simhash-keys")
-    pairs = buckets.select(F.col("high").alias("a"), F.col("low").alias("b"))
-    full = buckets.where("n > 2").select("key", "low")
-    more = table.join(common.bounded(full), "key").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    return pairs.unionByName(more).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+
+        def out(last: bool) -> pa.RecordBatch:
+            nonlocal held
+            mask, key, probe, fp = held
+            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+            ends = np.concatenate([[0], cuts, [len(mask)] if last else []]).astype(np.int64)
+            sizes, links = np.diff(ends), []
+            members = np.add.reduceat(1 - probe, ends[:-1]) if len(sizes) and len(mask) else sizes * 0
+            for k in np.flatnonzero((sizes > 1) & (members > 0)):
+                a, b = ends[k], ends[k + 1]
+                links += [(fp[a + i], fp[a + j]) for i, j in group_links(fp[a:b].view(np.uint64), probe[a:b] > 0, radius)]
+            held = [x[ends[-1] :] for x in held]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            new = [batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(4)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            yield out(False)
+        yield out(True)
+
+    return run
+
+
+def links(distinct: DataFrame, radius: int = 2, m: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between the fingerprints ``fp`` of a frame without repeats, enough to connect all that links of at
+    most ``radius`` bits lead to, by ``m`` segment tables."""
+    rows = dealt(distinct, radius, m, crowd).select("mask", "key", F.col("probe").cast("long").alias("probe"), "fp")
+    met = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return met.mapInArrow(_compared(radius), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -105,7 +202,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     table gives an empty result; other columns do not matter.
     """
     marked, _ = common.written(with_fingerprint(docs, text, [doc_id], "fp", size), "simhash")
-    heads = marked.groupBy("fp").agg(F.min(doc_id).alias("head"))
+    heads, _ = common.written(marked.groupBy("fp").agg(F.min(doc_id).alias("head")), "simhash-heads")
     joined = common.components(links(heads.select("fp")))
     lowest = joined.join(heads, joined.node == heads.fp).groupBy("component").agg(F.min("head").alias("least"))
     named = joined.join(lowest, "component").select(F.col("node").alias("fp"), "least")
@@ -117,13 +214,3 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint (16 hex digits) and component."""
     found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each group of :func:`classes`: the one with the smallest id, a null id only where the whole
-    group has none. Ties go to the least hash of the row."""
-    slim = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    marked, _ = common.written(with_fingerprint(slim, "text", ["row"]).dropDuplicates(["row"]), "simhash-rows")
-    joined = common.components(links(marked.select("fp").distinct()))
-    found = marked.join(joined, marked.fp == joined.node, "left").select("row", F.coalesce("component", "fp").alias("component"))
-    return common.one_of_each(docs, found, doc_id, text)

@@ -64,3 +64,24 @@ def test_odd_rows(spark):
     assert bpe.digests(df.limit(0), shared).count() == 0
     back = bpe.decode(spark.createDataFrame([(None,), ([],), ([64, 65],)], "ids array<int>"), shared).collect()
     assert [None if r.decoded is None else bytes(r.decoded) for r in back] == [None, b"", b"ab"]
+
+
+def test_checked_in_one_pass(spark, theirs):
+    df = spark.createDataFrame([(1, None), (2, ""), (None, " a\n b, c"), (3, "x " * 5000), (3, "x " * 5000)], "doc_id long, text string")
+    shared = bpe.codec(spark, PATH, PATTERN)
+    rows = bpe.checked(df, shared).collect()
+    assert len(rows) == 5 and all(r.round_trip and r.n_tokens == len(r.ids) and r.ids == theirs.encode_ordinary(r.text or "") for r in rows)
+    assert bpe.checked(df.limit(0), shared).count() == 0
+    with pytest.raises(ValueError):
+        bpe.checked(df.withColumn("round_trip", df.text), shared)
+
+
+def test_few_remembered(own, theirs):
+    """A cache of a few entries forgets all the time and changes no id."""
+    small = bpe.Codec(own.tokens, PATTERN)
+    small.pieces = bpe.Pieces(own.pieces.find, own.encode_token, budget=2000)
+    text = " ".join(f"w{i % 37}, {'y' * (i % 90)} (z{i})" for i in range(3000)) + "\nend of  it"
+    for _ in range(2):
+        assert small.encode(text).tolist() == theirs.encode_ordinary(text)
+    held = small.pieces.pieces
+    assert held.held <= 2000 and len(held) + len(held.older) < 60 and max(map(len, [*held, *held.older])) <= 64

@@ -16,16 +16,14 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
 def made():
     with open(PATH, encoding="utf-8") as file:
         json = file.read()
-    return {p: dac.LibraryPieces(json, p, limit=20) for p in (None, public_tokenizers.PATTERN)}
+    return {p: dac.LibraryPieces(json, p, budget=3000) for p in (None, public_tokenizers.PATTERN)}
 
 
 @settings(max_examples=100, deadline=None)

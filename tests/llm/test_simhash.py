@@ -1,5 +1,6 @@
 """SimHash: against the contract re-read word for word and all pairs, and odd inputs."""
 
+import random
 import re
 
 import pandas as pd
@@ -54,13 +55,11 @@ def test_repeated_and_null_ids(spark):
     rows = simhash.classes(df).collect()
     assert len(rows) == 4
     assert sorted(str(r.component_id) for r in rows) == ["1", "1", "1", "None"]
-    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {1, None}
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.classes(df).count() == 0
-    assert simhash.keep_one(df).count() == 0
 
 
 def test_chain_of_links(spark):
@@ -82,10 +81,48 @@ def test_chain_of_links(spark):
 def test_one_row_of_each_group_whatever_the_ids(spark):
     texts = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue cyan pink grey", "oak elm ash fir yew box"]
     df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3])], "doc_id long, text string")
-    assert sorted(r.text for r in simhash.keep_one(df).collect()) == sorted(texts)
     assert sorted(r.text for r in neardup.keep_one(df).collect()) == sorted(texts)
 
 
-def test_no_wider_radius(spark):
-    with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+def reached(pairs, nodes):
+    label = {x: x for x in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("radius,m,crowd", [(2, 2, 2048), (2, 2, 3), (2, 4, 2048), (3, 2, 4), (1, 1, 2048), (4, 3, 5), (0, 2, 2048)])
+def test_any_radius_and_tables(spark, radius, m, crowd):
+    """Clouds of fingerprints about the radius, some of which crowd a segment, against all pairs."""
+    own = random.Random(radius * 10 + m)
+    fps = set()
+    for _ in range(6):
+        centre = own.getrandbits(64)
+        fps |= {centre ^ sum(1 << b for b in own.sample(range(64), own.randint(0, 5))) for _ in range(12)}
+        fps |= {centre ^ own.getrandbits(32) << own.choice([0, 32]) for _ in range(6)} | {centre ^ 1 << 63, centre ^ 1 << 31}
+    fps = [signed(x) for x in fps]
+    frame = spark.createDataFrame(pd.DataFrame({"fp": fps}), "fp long")
+    found = [(r.a, r.b) for r in simhash.links(frame, radius, m, crowd).collect()]
+    near = lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= radius
+    assert all(near(a, b) and a != b for a, b in found)
+    assert reached(found, fps) == reached([(a, b) for a in fps for b in fps if a != b and near(a, b)], fps)
+
+
+def test_tables_by_segment(spark):
+    """Two tables of half fingerprints: balls of radius one in the first, the value itself in the second."""
+    frame = spark.createDataFrame([(0x00000005_00000003,)], "fp long")
+    rows = {(r.mask % (1 << 64), r.at, r.probe) for r in simhash.tables(frame).collect()}
+    low, high = 0xFFFFFFFF, 0xFFFFFFFF_00000000
+    assert rows == {(low, 0x5_00000003, False), (low, 0x5_00000002, True), (low, 0x5_00000001, True), (high, 0x5_00000003, False)}
+    assert len({r.mask for r in simhash.tables(frame, 2, 4).collect()}) == 3
+    assert simhash.tables(frame, probes=False).count() == 2
