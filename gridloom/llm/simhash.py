@@ -29,6 +29,8 @@ SEGMENTS = 2
 BITS = 64
 #: Members of a key beyond which it is cut again, and the free bits at which it never is.
 CROWD, FREE = 2_048, 10
+#: Rows that cuts may make of one row; keys that are crowded still are compared in blocks.
+COPIES = 64
 #: Fingerprints that are compared at once.
 SIDE = 2_048
 
@@ -92,8 +94,8 @@ def _mask(bits: Iterable[int]) -> int:
 
 
 def tables(distinct: DataFrame, radius: int = 2, m: int = SEGMENTS, probes: bool = True) -> DataFrame:
-    """The rows of all tables, and of all probes if these are asked for: ``mask`` (the segment's bits), ``at`` (the value that is looked up in it, with
-    the other bits as in ``fp``), ``probe`` (false for the table's own row) and ``fp``."""
+    """The rows of all tables, and of all probes if these are asked for: ``mask`` (the segment's bits), ``at`` (the value
+    that is looked up in it, with the other bits as in ``fp``), ``probe`` (false for the table's own row), ``fp``."""
     every = []
     for i, bits in enumerate(segments(m)):
         ball = radius // m - (i > radius % m)
@@ -115,23 +117,30 @@ def _pieces(mask: int, radius: int) -> list[int]:
 
 
 def dealt(distinct: DataFrame, radius: int, m: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
-    """The rows of :func:`tables` with ``key``; keys of more than ``crowd`` members are cut until they have fewer or
-    ``FREE`` bits are left. Each cut triples the rows of crowded keys only."""
+    """The rows of :func:`tables` with ``key``; keys of more than ``crowd`` members are cut until they have fewer,
+    ``FREE`` bits are left or another cut would make over ``COPIES`` rows of one. Each cut makes radius + 1 rows of one
+    in crowded keys only."""
     key = lambda df: df.withColumn("key", F.col("at").bitwiseAND(F.col("mask")))
     now, own, done, masks = key(tables(distinct, radius, m)), key(tables(distinct, radius, m, False)), None, [_mask(bits) for bits in segments(m)]
+    copies = 1
     while True:
+        copies *= radius + 1
         members = own.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-        free = [m for m in masks if BITS - (m % (1 << BITS)).bit_count() > FREE]
+        free = [m for m in masks if copies <= COPIES and BITS - (m % (1 << BITS)).bit_count() > FREE]
+        if not free:
+            return now if done is None else done.unionByName(now)
         crowded, _ = common.written(members.where(F.col("mask").isin(free)).select("mask", "key"), "simhash-crowded")
         if crowded.isEmpty():
             return now if done is None else done.unionByName(now)
         hint = common.bounded(crowded)
         rest = now.join(hint, ["mask", "key"], "left_anti")
         done = rest if done is None else done.unionByName(rest)
+        finer = [p for x in free for p in _pieces(x % (1 << BITS), radius)]
         cut = F.create_map(*(x for m in free for x in (F.lit(m).cast("long"), F.array(*(F.lit(p).cast("long") for p in _pieces(m % (1 << BITS), radius))))))
         again = now.join(hint, ["mask", "key"], "left_semi").select(F.explode(cut[F.col("mask")]).alias("mask"), "at", "probe", "fp")
-        now = key(common.written(again, "simhash-cut")[0])
-        own, masks = now.where(~F.col("probe")), [p for m in free for p in _pieces(m % (1 << BITS), radius)]
+        masks = list(dict.fromkeys(finer))
+        now = key(common.written(again if len(masks) == len(finer) else again.distinct(), "simhash-cut")[0])
+        own = now.where(~F.col("probe"))
 
 
 def group_links(fp: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int, int]]:
