@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scalars import BLANKED, SPELLED, WIKI_BASE
+from .scalars import BLANKED, SPELLED
 
-#: Words left out of headers.
+#: Words left out of headers, and the address of articles.
 STOP_WORDS = ["the", "of", "by", "in", "on", "at", "for", "an"]
+WIKI_BASE = "https://en.wikipedia.org/wiki"
 
 
 def remove_stop_words(text: Column) -> Column:
