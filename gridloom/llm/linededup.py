@@ -382,24 +382,42 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
+def without(lines: F.Column, removed: F.Column) -> F.Column:
+    """An array without the elements at the places (from 0, ascending) in another one: the slices between neighbouring
+    places, so that the work grows with the two lengths and not with their product."""
+
+    def slices(both: F.Column) -> F.Column:
+        def between(i: F.Column) -> F.Column:
+            before = F.when(i == 0, -1).otherwise(F.get(both["removed"], i - 1))
+            after = F.when(i == F.size(both["removed"]), F.size(both["lines"])).otherwise(F.get(both["removed"], i))
+            return F.slice(both["lines"], before + 2, after - before - 1)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(both["removed"])), between))
+
+    # inside the lambda the struct is a value, so that the text is split once
+    return F.get(F.transform(F.array(F.struct(lines.alias("lines"), removed.alias("removed"))), slices), 0)
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the removed lines taken out of their text, and two columns: ``_n_lines`` and ``_removed``
     (the sorted numbers of removed lines, empty if none).
 
     Every row stays, even one that loses all its lines (its text is then empty). Null texts stay null and have no
     lines. Rows with equal id and text count as one row and get the same result; a null id comes last. An empty
-    table gives an empty result. Texts of any length are read whole.
+    table gives an empty result. Texts of any length are read whole. Ids are integers, or what casts to them. A column
+    of docs named as a new one gives way to it; others stay.
     """
-    key = "_row_of_line_dedup"
-    gone = removals(docs, doc_id, text).select(F.col("row").alias(key), "removed")
-    whole = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), text)).join(gone.withColumnRenamed("removed", "_removed"), key, "left").drop(key)
+    key, cut = "_row_of_line_dedup", "_cut_of_line_dedup"
+    docs = docs.drop("_n_lines", "_removed")
+    gone = removals(docs, doc_id, text).select(F.col("row").alias(key), F.col("removed").alias(cut))
+    whole = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), text)).join(gone, key, "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i)), "\n")
+    kept = F.array_join(without(lines, F.col(cut)), "\n")
     return whole.withColumns({
-        text: F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept),
+        text: F.when(F.col(cut).isNull(), F.col(text)).otherwise(kept),
         "_n_lines": F.coalesce(F.size(lines), F.lit(0)),
-        "_removed": F.coalesce("_removed", F.array().cast("array<int>")),
-    })
+        "_removed": F.coalesce(cut, F.array().cast("array<int>")),
+    }).drop(key, cut)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

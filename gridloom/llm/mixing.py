@@ -118,7 +118,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tokens:
 
     ``tokens`` counts a row's tokens; words by default. Rows without a source are a source of their own; a null id is
     a value like others. Repeated rows get equal keys: they are taken together or not at all. Documents of no tokens
-    follow the order like others. An empty table gives an empty result. See :func:`weights` for the targets.
+    follow the order like others. An empty table gives an empty result. Other columns of docs stay as they are, whatever
+    their names; one named as a new column gives way to it. See :func:`weights` for the targets.
     """
     counted = F.coalesce(token_count(F.col(text)) if tokens is None else tokens.cast("long"), F.lit(0).cast("long"))
     name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
@@ -129,14 +130,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tokens:
     plan, _ = common.written(weights(slim, target_entropy, max_repetition, budget), "mixing-plan")
     quotas = common.bounded(plan.select("source", "full", "rest"))
     ends = common.bounded(_cuts(slim, quotas))
-    marked = docs.withColumns({"_source": name, "_key": key})
-    joined = marked.join(quotas.withColumnRenamed("source", "_source"), "_source").join(ends.withColumnRenamed("source", "_source"), "_source", "left")
-    block = F.substring("_key", 1, DIGITS)
-    last = F.concat(_key(F.col("_source"), F.col("full") + 1, block), _key(F.col("_key"), F.col("full") + 1))
-    times = F.col("full") + F.when(last <= F.col("cut"), 1).otherwise(0)
-    out = joined.withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    order = F.concat(_key(F.col("_source"), "_epoch", block), _key(F.col("_key"), "_epoch"))
-    return out.withColumns({"_block": block, "_order": order}).select(*docs.columns, "_epoch", "_block", "_order")
+    taken = {c.lower() for c in docs.columns}
+    free = lambda c: next(n for n in (f"_mix_{c}" + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken)
+    origin, own, full, rest, cut, epoch = map(free, ("source", "key", "full", "rest", "cut", "epoch"))
+    marked = docs.withColumns({origin: name, own: key})
+    joined = marked.join(quotas.toDF(origin, full, rest), origin).join(ends.toDF(origin, cut), origin, "left")
+    block = F.substring(own, 1, DIGITS)
+    last = F.concat(_key(F.col(origin), F.col(full) + 1, block), _key(F.col(own), F.col(full) + 1))
+    times = F.col(full) + F.when(last <= F.col(cut), 1).otherwise(0)
+    out = joined.withColumn(epoch, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    order = F.concat(_key(F.col(origin), epoch, block), _key(F.col(own), epoch))
+    kept = [c for c in docs.columns if c.lower() not in ("_epoch", "_block", "_order")]
+    return out.select(*kept, F.col(epoch).alias("_epoch"), block.alias("_block"), order.alias("_order"))
 
 
 def _cuts(slim: DataFrame, quotas: DataFrame) -> DataFrame:

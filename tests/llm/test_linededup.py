@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import linededup as ld
 
@@ -90,6 +91,27 @@ def test_repeated_rows_and_empty_table(spark):
     assert ld.dedup(df.limit(0)).count() == 0
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one line of text\nown", 7, "r", 1), (2, "other\none line of text", 8, "s", 2)], "doc_id long, text string, _n_lines int, _removed string, component int")
+    rows = {r.doc_id: r for r in ld.dedup(df).collect()}
+    assert rows[2].text == "other" and rows[2]._removed == [1] and rows[2]._n_lines == 2 and rows[2].component == 2
+    assert rows[1].text == "one line of text\nown" and rows[1]._removed == []
+
+
+@pytest.mark.parametrize("gone", [[], [0], [4], [0, 1, 2, 3, 4], [1, 3], [0, 2, 3]])
+def test_lines_without(spark, gone):
+    lines = ["a", "", "c", "d", ""]
+    df = spark.createDataFrame([(lines, gone)], "lines array<string>, gone array<int>")
+    assert df.select(ld.without(df.lines, df.gone).alias("x")).first().x == [x for i, x in enumerate(lines) if i not in gone]
+
+
+def test_many_lines_of_one_text_go(spark):
+    lines = [f"line of the text {i} {i * i} {i ** 3}" for i in range(30_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines[::2])), (2, "\n".join(lines))], "doc_id long, text string")
+    same = ld.without(F.split("text", "\n", -1), F.sequence(F.lit(0), F.lit(14_999)))
+    assert df.where("doc_id = 2").select(same.alias("x")).first().x == lines[15_000:]
+
+
 def test_pairs_in_a_family_below_the_threshold(spark):
     """Lines that share much of their text without being similar, among them pairs that are."""
     rng = random.Random(11)

@@ -38,7 +38,7 @@ def test_exponent_meets_targets(shares):
 
 @pytest.mark.parametrize("budget", [None, 0.5, 2.0])
 def test_budgets_and_permutations(spark, budget):
-    docs = [(i, s, 1 + (i * 7) % 5) for s, n in SIZES.items() for i in range(hash(s) % 1000, hash(s) % 1000 + n)]
+    docs = [(i, s, 1 + (i * 7) % 5) for k, (s, n) in enumerate(SIZES.items()) for i in range(137 * k, 137 * k + n)]
     df = spark.createDataFrame(docs, "doc_id long, source string, n long")
     plan = {r.source: r for r in mixing.weights(df.withColumnRenamed("n", "tokens"), None, 2.5, budget).collect()}
     rows = mixing.mix(df, tokens=F.col("n"), max_repetition=2.5, budget=budget, seed=7).collect()
@@ -65,3 +65,14 @@ def test_odd_rows(spark):
     out = mixing.mix(df, max_repetition=2.0, budget=None).collect()
     assert {(r.doc_id, r.source) for r in out} == {(r[0], r[1]) for r in rows} and {r.tokens for r in out} == {1}
     assert mixing.mix(df.limit(0), max_repetition=2.0, budget=None).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["full", "rest", "cut", "_source", "_key", "_mix_full", "_Mix_Key", "tokens", "weight"]
+    df = spark.range(40).selectExpr("id AS doc_id", "if(id < 30, 'a', 'b') AS source", "'x y' AS text", *(f"concat('{c}', id) AS {c}" for c in names), "-1 AS _epoch", "'no' AS _block")
+    plain = df.select("doc_id", "source", "text")
+    got = mixing.mix(df, max_repetition=2.0, budget=None)
+    assert got.columns == ["doc_id", "source", "text", *names, "_epoch", "_block", "_order"]
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in names)
+    same = [(r.doc_id, r._epoch, r._block, r._order) for r in mixing.mix(plain, max_repetition=2.0, budget=None).collect()]
+    assert sorted((r.doc_id, r._epoch, r._block, r._order) for r in got.collect()) == sorted(same)
