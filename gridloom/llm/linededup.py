@@ -216,11 +216,14 @@ def unsettled(nodes: DataFrame, known: DataFrame, stars: DataFrame, block: int =
     ``settled`` (linked to the least of its bucket). stars: the links (a, b) of :func:`candidates` that held.
 
     The members of a bucket that are not like its least one meet each other and all others there, in blocks and pairs
-    of blocks of about ``block`` nodes; those that are like it are linked already and do not meet each other."""
+    of blocks of about ``block`` nodes; those that are like it are linked already and do not meet each other. Buckets of
+    the same members (in several bands; told by 128 bits of hashes) are compared once."""
     full = common.bounded(known.where("n > 2").select("key", "low"))
     met = _keys(nodes).join(full, "key").join(stars.select(F.col("a").alias("node"), F.col("b").alias("low"), F.lit(True).alias("_like")), ["node", "low"], "left")
     members, _ = common.written(met.select("key", "node", F.coalesce("_like", F.col("node") == F.col("low")).alias("settled")), "line-members")
-    sizes = members.groupBy("key").agg(F.count_if("settled").alias("s"), F.count_if(~F.col("settled")).alias("r")).where("r > 0")
+    own = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    sizes = members.groupBy("key").agg(F.count_if("settled").alias("s"), F.count_if(~F.col("settled")).alias("r"), *own).where("r > 0")
+    sizes = sizes.groupBy("s", "r", "x0", "x1").agg(F.min("key").alias("key"))
     parts = lambda c: F.ceil(F.col(c) / block).cast("int").alias(f"{c}_parts")
     sized, _ = common.written(sizes.select("key", parts("s"), parts("r")), "line-sizes")
     dealt = members.join(common.bounded(sized), "key")
@@ -241,7 +244,9 @@ def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     row, order = row[met], np.argsort(place, kind="stable")
     row, place = row[order], place[order]
     out = np.zeros((len(sets), len(sets)), np.float64)
-    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+    width = int(place[-1]) + 1 if len(place) else 0
+    columns = min(columns, max(width, 1))
+    for at in range(0, width, columns):
         own = slice(*np.searchsorted(place, [at, at + columns]))
         has = np.zeros((len(sets), columns), np.float32)
         has[row[own], place[own] - at] = 1
