@@ -1,10 +1,12 @@
 """Near-duplicate documents by the Jaccard similarity of their five-word runs.
 
-Documents (as sequences of words, see :func:`simhash.words`) are nodes, named by the XXH64 of their words. One-permutation
-MinHash over the runs gives ``BANDS`` bands; a pair of similarity 0.8 shares one with probability 0.9998. Pairs in a
-band's bucket are compared exactly, as lines are in :mod:`linededup`. A 64-bit SimHash cannot stand in for the bands:
-at similarity 0.8 the cosine of two sets of equal size is 0.89, so fingerprints differ in 10 bits on average and often
-in 16, and within 16 bits lie too many pairs of unrelated documents.
+Documents (as sequences of words, see :func:`simhash.words`) are nodes, named by the XXH64 of their words. Each has the
+64-bit SimHash of its runs; fingerprints that differ in ``RADIUS`` bits or fewer are linked by the segment tables of
+:mod:`simhash`, and nodes whose fingerprints are linked, directly or not, are a bucket. A pair in a bucket is compared
+exactly, as lines are in :mod:`linededup`. Fingerprints alone would lose pairs: at similarity 0.8 the cosine of two sets
+of equal size is 0.89, so they differ in 10 bits on average and often in 16, and within 16 bits lie too many unrelated
+documents. So the one-permutation MinHash over the same runs gives ``BANDS`` further keys to buckets; a pair of
+similarity 0.8 shares one with probability 0.9998.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common, linededup, simhash
 
 SIZE, LEAST, BANDS = 5, 0.8, 16
+#: Bits in which linked fingerprints may differ.
+RADIUS = 3
 #: Documents of a bucket that are compared at once.
 MEMBERS = 48
 #: Documents whose runs a worker holds at once.
@@ -66,9 +70,11 @@ def _sets(bodies: list[bytes]) -> list[np.ndarray]:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, CHUNK):
         texts = batch.column(1).to_pylist()
-        own = bands([runs(t) for t in texts])
-        columns = [batch.column(0), pa.array(list(map(node, texts)), pa.int64()), *(pa.array(own[:, b]) for b in range(BANDS))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "node", *(f"b{b}" for b in range(BANDS))])
+        hashes = [simhash.shingle_hashes(t, SIZE) for t in texts]
+        prints = np.array([simhash.fingerprint(h) for h in hashes], np.uint64).view(np.int64)
+        own = bands([np.unique(np.array(h, np.uint64)) for h in hashes])
+        columns = [batch.column(0), pa.array(list(map(node, texts)), pa.int64()), pa.array(prints), *(pa.array(own[:, b]) for b in range(BANDS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "node", "fp", *(f"b{b}" for b in range(BANDS))])
 
 
 def _bodies(slim: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -84,13 +90,21 @@ def _bodies(slim: DataFrame, pairs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "node long, body binary").dropDuplicates(["node"])
 
 
+def near_prints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """node and ``key``, one key for all nodes whose fingerprints ``fp`` links of ``radius`` or fewer bits lead to."""
+    joined = common.components(simhash.links(nodes.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "component")
+    return nodes.join(joined, "fp", "left").select("node", F.coalesce("component", "fp").alias("key"))
+
+
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (the xxhash64 of a text) and ``component`` for every text of docs: texts that links of a similarity of
     ``LEAST`` or more lead to have the same one. Null, empty and white texts are alike."""
     slim = docs.select(F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    schema = "row long, node long, " + ", ".join(f"b{b} long" for b in range(BANDS))
+    schema = "row long, node long, fp long, " + ", ".join(f"b{b} long" for b in range(BANDS))
     marked, _ = common.written(slim.mapInArrow(_banded, schema).dropDuplicates(["row"]), "neardup-rows")
-    nodes, _ = common.written(marked.drop("row").dropDuplicates(["node"]), "neardup-nodes")
+    printed, _ = common.written(marked.drop("row").dropDuplicates(["node"]), "neardup-prints")
+    keyed = near_prints(printed).withColumnRenamed("key", f"b{BANDS}")
+    nodes, _ = common.written(printed.drop("fp").join(keyed, "node"), "neardup-nodes")
     links = linededup.linked(nodes, lambda pairs: _bodies(slim, pairs), _verify, _sets, LEAST, None, MEMBERS)
     joined = common.components(links)
     return marked.select("row", "node").join(joined, "node", "left").select("row", F.coalesce("component", "node").alias("component"))

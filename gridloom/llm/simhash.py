@@ -51,20 +51,19 @@ def shingle_hashes(text: str | None, size: int = 3) -> list[int]:
     return [digest(x, SEED) for x in map(b" ".join, zip(*(found[i:] for i in range(size)), strict=False))]
 
 
-def fingerprints(texts: list[str | None], size: int = 3, chunk: int = 65_536) -> np.ndarray:
-    """The 64-bit fingerprint of each text as unsigned integers; a bit is one if set in over half of the hashes."""
-    out = np.zeros(len(texts), dtype=np.uint64)
+def fingerprint(hashes: list[int], chunk: int = 65_536) -> np.uint64:
+    """The 64-bit fingerprint of a text's shingle hashes; a bit is one if set in over half of them, zero if none."""
     weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-    for i, text in enumerate(texts):
-        hashes = shingle_hashes(text, size)
-        if not hashes:
-            continue
-        counts = np.zeros(BITS, dtype=np.int64)
-        for at in range(0, len(hashes), chunk):
-            block = np.array(hashes[at : at + chunk], dtype="<u8").view(np.uint8)
-            counts += np.unpackbits(block.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = weights[2 * counts > len(hashes)].sum(dtype=np.uint64)
-    return out
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), chunk):
+        block = np.array(hashes[at : at + chunk], dtype="<u8").view(np.uint8)
+        counts += np.unpackbits(block.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return weights[2 * counts > len(hashes)].sum(dtype=np.uint64)
+
+
+def fingerprints(texts: list[str | None], size: int = 3, chunk: int = 65_536) -> np.ndarray:
+    """The fingerprint of each text as unsigned integers."""
+    return np.array([fingerprint(shingle_hashes(t, size), chunk) for t in texts], dtype=np.uint64)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None, name: str = "fp", size: int = 3) -> DataFrame:

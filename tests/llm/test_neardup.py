@@ -41,3 +41,21 @@ def test_stage_against_all_pairs(spark):
     docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA)
     got = sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect())
     assert got == sorted(brute(rows)) and len(got) < len(rows) - 30
+
+
+def test_near_fingerprints_are_a_bucket(spark):
+    import numpy as np
+
+    from gridloom.llm import neardup, simhash
+
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+    edited = [*text[:700], "edited", *text[701:]]
+    texts = [" ".join(text), " ".join(edited), " ".join(f"v{rng.randrange(5000)}" for _ in range(1500))]
+    a, b, c = simhash.fingerprints(texts, neardup.SIZE)
+    assert 0 < int(a ^ b).bit_count() <= neardup.RADIUS < int(a ^ c).bit_count()
+    nodes = spark.createDataFrame([(i, int(np.array(f).view(np.int64))) for i, f in enumerate((a, b, c))], "node long, fp long")
+    keys = {r.node: r.key for r in neardup.near_prints(nodes).collect()}
+    assert keys[0] == keys[1] != keys[2]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect()) == [0, 2]
