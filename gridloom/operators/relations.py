@@ -111,6 +111,26 @@ def candidates_three(pairs: DataFrame, known: DataFrame, clusters: DataFrame) ->
     return one.select(*columns, F.lit(1).alias("origin")).unionByName(zero.select(*columns, F.lit(0).alias("origin"))).unionByName(two.select(*columns, F.lit(2).alias("origin")))
 
 
+def labelled(rows: DataFrame, of_cluster: DataFrame) -> DataFrame:
+    """What :func:`candidates` gives, from rows that hold the predicates of their pair: table_id, row_no, cluster, c1,
+    c2, subj, obj, preds. of_cluster: cluster, c1, c2 and ``possible``, all predicates there. Each row is joined with one
+    row and expanded, so nothing is compared with an exploded copy."""
+    pred = F.explode(F.coalesce("possible", "preds")).alias("pred")
+    columns = ["cluster", "table_id", "row_no", "c1", "c2", "subj", "obj"]
+    each = rows.join(of_cluster, ["cluster", "c1", "c2"], "left").select(*columns, "preds", pred)
+    return each.select(*columns, "pred", F.when(F.array_contains("preds", F.col("pred")), 1).otherwise(0).alias("label"))
+
+
+def of_origin(rows: DataFrame, of_cluster: DataFrame) -> DataFrame:
+    """What :func:`candidates_three` gives, from rows as :func:`labelled` takes them, with ``near``, the predicates of the
+    table's column pair."""
+    pred = F.explode(F.coalesce("possible", "near")).alias("pred")
+    columns = ["cluster", "table_id", "row_no", "c1", "c2", "subj", "obj"]
+    each = rows.join(of_cluster, ["cluster", "c1", "c2"], "left").select(*columns, "preds", "near", pred)
+    origin = F.when(F.array_contains("preds", F.col("pred")), 1).when(F.array_contains("near", F.col("pred")), 0).otherwise(2)
+    return each.select(*columns, "pred", origin.alias("origin"))
+
+
 def search_once(triples: DataFrame, patterns: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first triple that matches each pattern on all keys."""
     first = Window.partitionBy(*keys).orderBy(order)
