@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import BUDGET, Pieces
+from .pieces import BUDGET, Pieces, together
 
 MAGIC = b"DACTOK01"
 SPAN = 512
 #: Tokens after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 4_000_000
+#: Rows of a batch that are looked at together.
+ROWS = 4096
+_ID = attrgetter("id")
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -61,14 +65,26 @@ class LibraryPieces:
         self.pieces = Pieces(regex.compile(pattern).findall, self._token, budget) if pattern else None
 
     def _token(self, token: str) -> bytes:
-        letters = token.encode().decode("latin-1").translate(self.letters)
-        return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        word = token[1:]
+        plain = token[0] == " " and word.isascii() and word.isalpha()
+        letters = self.letters[32] + word if plain else token.encode().decode("latin-1").translate(self.letters)
+        return array("i", map(_ID, self.model.tokenize(letters))).tobytes()
+
+    def _apart(self, text: str) -> bytes | None:
+        if self.pieces and not self.holds(text):
+            return None
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text, four bytes each, little-endian; none for null."""
-        if text and (self.pieces is None or self.holds(text)):
-            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.pieces.ids(text) if text else b""
+        return self.many([text])[0].tobytes()
+
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and how many each has; none for null."""
+        if self.pieces:
+            return self.pieces.many(texts, self._apart)
+        packed = [self._apart(x) if x else b"" for x in texts]
+        return np.frombuffer(b"".join(packed), "<i4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
 
 
 class Tokenizing:
@@ -84,10 +100,10 @@ class Tokenizing:
     def __getstate__(self) -> dict:
         return {"json": self.json, "pattern": self.pattern, "made": None}
 
-    def ids(self, text: str | None) -> bytes:
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.made is None:
             self.made = LibraryPieces(self.json, self.pattern)
-        return self.made.ids(text)
+        return self.made.many(texts)
 
 
 def pack(doc_ids: list[int | None], texts: list[np.ndarray]) -> bytes:
@@ -95,7 +111,7 @@ def pack(doc_ids: list[int | None], texts: list[np.ndarray]) -> bytes:
     nulls = sum(i is None for i in doc_ids)
     if any(i is None for i in doc_ids[nulls:]):
         raise ValueError("documents with a null id come first")
-    rest = np.concatenate(texts).astype(np.uint32) if texts else np.zeros(0, np.uint32)
+    rest = np.concatenate(texts, dtype=np.uint32, casting="unsafe") if texts else np.zeros(0, np.uint32)
     starts = np.cumsum([0, *map(len, texts)]).astype("<u8")
     head, levels = [np.array([i or 0 for i in doc_ids], "<i8").tobytes(), starts.tobytes()], []
     total = len(rest)
@@ -153,7 +169,7 @@ class Shard:
         return value
 
     def all(self) -> np.ndarray:
-        out, places = np.zeros(self.tokens, np.uint32), np.arange(self.tokens)
+        out, places = np.zeros(self.tokens, np.uint32), np.arange(self.tokens, dtype=np.uint32)
         for k, (chunks, bits, _) in enumerate(self.levels):
             out[places] |= chunks.astype(np.uint32) << np.uint32(8 * k)
             places = places[np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)]
@@ -186,16 +202,18 @@ def write(docs: DataFrame, tokenizing, folder: str, doc_id: str = "doc_id", text
             row = (part, seq, f"{folder}/{path.rpartition('/')[2]}", len(ids), held, len(data))
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "seq", "path", "n_docs", "n_tokens", "n_bytes"])
 
-        end = array("i", [end_id]).tobytes()
-        for batch in batches:
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.frombuffer(own.ids(body.as_py()) + end, "<i4")
+        for batch in (part for whole in common.slices(batches, ROWS) for part in together(whole, 1)):
+            flat, sizes = own.many(batch.column(1).to_pylist())
+            ends = np.cumsum(sizes)
+            for i, a, b in zip(batch.column(0).to_pylist(), ends - sizes, ends, strict=True):
+                tokens = np.append(flat[a:b], np.int32(end_id))
                 ids.append(i)
                 texts.append(tokens)
                 held += len(tokens)
                 if held >= shard_tokens:
                     yield flush()
                     seq, ids, texts, held = seq + 1, [], [], 0
+                    common.give_back()
         if ids:
             yield flush()
 

@@ -83,3 +83,12 @@ def test_added_tokens_as_the_library_has_them(spark, tmp_path):
     assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, dac.op10_token_files(spark, str(tmp_path)).collect())) == sorted(expected(list(enumerate(texts)), library))
+
+
+def test_texts_together(library, made):
+    texts = ["see the zorblat, zorblat.\nand é zorblat", None, "", "the<|endoftext|> zorblat", " the  zorblat \n\n", "a\nb\n"] * 3
+    ids = [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for own in made.values():
+        flat, sizes = own.many(texts)
+        assert sizes.tolist() == [*map(len, ids)] and flat.tolist() == [i for x in ids for i in x]
+    assert not any("," in x or "." in x for x in made[public_tokenizers.PATTERN].pieces.pieces)
