@@ -9,6 +9,7 @@ leftmost first, until no pair is a token.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 from heapq import heapify, heappop, heappush
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .pieces import Pieces
+from .pieces import Pieces, together
 
 #: Rows that leave a worker at once; long documents stay small in number.
 ROWS = 512
@@ -108,6 +109,11 @@ class Codec:
                 out[token[0] << 8 | token[1]] = i
         return out
 
+    @cached_property
+    def singles(self) -> list[int]:
+        """The ids of the tokens of one byte, by it; None where there is none."""
+        return [self.ranks.get(bytes([b])) for b in range(256)]
+
     def __getstate__(self) -> dict:
         return {"tokens": self.tokens, "pattern": self.pattern, "hash": self.hash}
 
@@ -121,25 +127,25 @@ class Codec:
         whole = self.hash.find(piece)
         if whole >= 0:
             return whole.to_bytes(4, "little")
-        return b"".join(i.to_bytes(4, "little") for i in self.merge(piece))
+        return array("i", self.merge(piece)).tobytes()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no token: merges by a heap over linked bytes."""
-        n, rank = len(piece), self.ranks.get
+        n, rank, pairs = len(piece), self.ranks.get, self.pairs
+        ids = [*map(self.singles.__getitem__, piece)]
         if n == 1:
-            return [self.ranks[piece]]
-        pairs = self.pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            return ids
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         now = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         heap = [r << 32 | i for i, r in enumerate(now) if r >= 0]
         now.append(-1)
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i = top & _LOW
-            if now[i] != top >> 32:
+            i, r = top & _LOW, top >> 32
+            if now[i] != r:
                 continue  # one of its parts has changed since
-            j = after[i]
+            ids[i], j = r, after[i]
             end = after[i] = after[j]
             now[j] = now[i] = -1
             if end < n:
@@ -158,7 +164,7 @@ class Codec:
                     heappush(heap, r << 32 | p)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
         return out
 
@@ -193,11 +199,9 @@ def encode(df: DataFrame, shared, text: str = "text", out: str = "ids", keep: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                packed = [own.pieces.ids(x) for x in batch.column(columns.index(text)).to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            for batch in together(whole, columns.index(text)):
+                flat, sizes = own.pieces.many(batch.column(columns.index(text)).to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), ids], names=[*keep, out])
 
     return df.select(*columns).mapInArrow(run, schema)
@@ -236,12 +240,12 @@ def checked(df: DataFrame, shared, text: str = "text", keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in common.slices(batches, ROWS // 2):
+        for batch in (part for whole in common.slices(batches, 8 * ROWS) for part in together(whole, columns.index(text))):
             texts = batch.column(columns.index(text)).to_pylist()
-            packed = [own.pieces.ids(x) for x in texts]
-            exact = [own.decode(np.frombuffer(ids, "<i4").tolist()) == (x or "").encode() for ids, x in zip(packed, texts, strict=True)]
-            sizes = np.array([len(x) // 4 for x in packed], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            flat, sizes = own.pieces.many(texts)
+            ends = np.cumsum([0, *sizes])
+            exact = [own.decode(flat[a:b].tolist()) == (x or "").encode() for a, b, x in zip(ends, ends[1:], texts, strict=False)]
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), pa.array(sizes), ids, pa.array(exact, pa.bool_())], names=[*keep, "n_tokens", "ids", "round_trip"])
 
     return df.select(*columns).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *new]))

@@ -85,3 +85,20 @@ def test_few_remembered(own, theirs):
         assert small.encode(text).tolist() == theirs.encode_ordinary(text)
     held = small.pieces.pieces
     assert held.held <= 2000 and len(held) + len(held.older) < 60 and max(map(len, [*held, *held.older])) <= 64
+
+
+@pytest.mark.parametrize("text", ["ab.\ncd, ef\n", "\nab\ncd", "a\n\nb c\n\n", "a b\n", " a\tb\nc d", "a\r\nb c", "a \n b", "x\n\n\ny z.\n?! w", "one's\n'tis we'd, ok.,\n"])
+def test_line_feeds_and_spaces(own, theirs, text):
+    assert own.encode(text).tolist() == theirs.encode_ordinary(text)
+
+
+def test_texts_together(own, theirs):
+    """A word is made once and held once, whatever stands behind it and in whichever text it is; the ids are the library's."""
+    made = []
+    small = bpe.Pieces(own.pieces.find, lambda token: made.append(token) or own.encode_token(token))
+    texts = ["see the zorblat, zorblat.\nand zorblat", None, "", "the  zorblat \n\n", "a zorblat. the zorblat"] * 3
+    flat, sizes = small.many(texts)
+    assert sizes.tolist() == [len(theirs.encode_ordinary(x or "")) for x in texts]
+    assert flat.tolist() == [i for x in texts for i in theirs.encode_ordinary(x or "")]
+    assert made.count(" zorblat") == 1 and not any("zorblat" in x and x != "zorblat" for x in small.pieces)
+    assert [x.tolist() for x in small.many([])] == [[], []]
