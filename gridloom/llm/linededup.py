@@ -13,6 +13,7 @@ line number). Lines that are empty or white space are never removed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,12 @@ BLOCK = 400_000
 CHUNK = 128
 #: Nodes of a bucket that are compared at once, all with all; larger buckets are dealt in blocks and pairs of blocks.
 MEMBERS = 256
+#: Characters of a line whose shingle set may be remembered, for as many lines as a group has.
+SHORT = 1000
 #: 64-bit words of the fixed-size filter (4 MB) that tells which lines' texts may be needed.
 FILTER_WORDS = 1 << 19
+#: Place of the bits that number the lines of a chunk.
+_ROW = np.uint64(64 - (CHUNK - 1).bit_length())
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -77,13 +82,22 @@ def signatures(lines: list[str], bins: int = ROWS * BANDS) -> np.ndarray:
     return out
 
 
-def _signatures(lines: list[str], bins: int) -> np.ndarray:
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every shingle of the lines, and the place of its line."""
     padded = [x if len(x) >= K else x.ljust(K, "\0") for x in lines]
+    if not padded:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     counts, starts = lengths - (K - 1), np.cumsum(lengths) - lengths
     whose = np.repeat(np.arange(len(lines)), counts)
-    h = shingle_hashes(points)[np.arange(len(whose)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)]
+    with np.errstate(over="ignore"):
+        h = shingle_hashes(points)
+    return h[np.arange(len(whose)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)], whose
+
+
+def _signatures(lines: list[str], bins: int) -> np.ndarray:
+    h, whose = _hashed(lines)
     cell = whose * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     least = np.full(len(lines) * bins, _FULL)
     np.minimum.at(least, cell, h)
@@ -119,9 +133,16 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _set(line: str) -> frozenset[str]:
+    return frozenset(line[i : i + K] for i in range(max(1, len(line) - K + 1)))
+
+
+_short_set = lru_cache(MEMBERS)(_set)
+
+
 def jaccard(a: str, b: str) -> float:
     """Exact Jaccard similarity of two normalised lines' shingle sets."""
-    x, y = ({t[i : i + K] for i in range(max(1, len(t) - K + 1))} for t in (a, b))
+    x, y = ((_short_set if len(t) <= SHORT else _set)(t) for t in (a, b))
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -144,14 +165,24 @@ def similar(a: list[str], b: list[str]) -> list[int]:
     hashes' similarity is never below the lines' own but by a collision inside one line; those that pass are
     compared exactly."""
     found = []
-    for i, (x, y) in enumerate(zip(hashed_sets(a), hashed_sets(b), strict=True)):
-        both = np.sort(np.concatenate([x, y]), kind="stable")
-        common_ = int(np.count_nonzero(both[1:] == both[:-1]))
-        if common_ >= LEAST * (len(both) - common_) - 1 and jaccard(a[i], b[i]) >= LEAST:
-            found.append(i)
+    for at in range(0, len(a), CHUNK):
+        x, y = _marked(a[at : at + CHUNK]), _marked(b[at : at + CHUNK])
+        both = np.sort(np.concatenate([x, y]))
+        count = lambda marked, n=len(a[at : at + CHUNK]): np.bincount((marked >> _ROW).astype(np.int64), minlength=n)
+        common_ = count(both[1:][both[1:] == both[:-1]])
+        near = np.flatnonzero(common_ >= LEAST * (count(both) - common_) - 1) + at
+        found += [i for i in near.tolist() if jaccard(a[i], b[i]) >= LEAST]
     return found
 
 
+def _marked(lines: list[str]) -> np.ndarray:
+    """The different shingle hashes of each of at most ``CHUNK`` lines, its place in the highest bits, sorted."""
+    h, whose = _hashed(lines)
+    with np.errstate(over="ignore"):
+        h = np.sort(h & ((np.uint64(1) << _ROW) - np.uint64(1)) | whose.astype(np.uint64) << _ROW)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, list[str]]]:
     for i, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         yield i, row, (text or "").split("\n")

@@ -128,3 +128,12 @@ def test_pairs_in_a_family_below_the_threshold(spark):
     done = ld.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: r._removed for r in done.collect()}
     assert [got[i] for i, _ in rows] == brute(rows)
+
+
+def test_pairs_of_several_chunks_counted_at_once():
+    """Different shingles of each line, numbered by its place; pairs beyond a chunk are compared like the first ones."""
+    lines = ["", "a", "short one", "abcdefgh" * 9, "é" * 40, "x" * 2000] * 20
+    places = (ld._marked(lines) >> ld._ROW).tolist()
+    assert [places.count(i) for i in range(len(lines))] == [len({t[i : i + ld.K] for i in range(max(1, len(t) - ld.K + 1))}) for t in lines]
+    a, b = lines * 3, [x + "z" for x in lines * 3]
+    assert len(a) > 2 * ld.CHUNK and ld.similar(a, b) == [i for i in range(len(a)) if ld.jaccard(a[i], b[i]) >= ld.LEAST]
