@@ -137,13 +137,31 @@ def _set(line: str) -> frozenset[str]:
     return frozenset(line[i : i + K] for i in range(max(1, len(line) - K + 1)))
 
 
-_short_set = lru_cache(MEMBERS)(_set)
+def _packed(line: str) -> np.ndarray | None:
+    """The sorted different shingles of a line themselves, a byte a character; None if it has other characters or is
+    shorter than a shingle."""
+    if len(line) < K:
+        return None
+    try:
+        data = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    own = np.sort(np.ndarray(len(data) - K + 1, np.uint64, data, strides=(1,)))
+    return own[np.concatenate([[True], own[1:] != own[:-1]])]
+
+
+_short_packed, _short_set = lru_cache(MEMBERS)(_packed), lru_cache(MEMBERS)(_set)
 
 
 def jaccard(a: str, b: str) -> float:
     """Exact Jaccard similarity of two normalised lines' shingle sets."""
-    x, y = ((_short_set if len(t) <= SHORT else _set)(t) for t in (a, b))
-    both = len(x & y)
+    x, y = ((_short_packed if len(t) <= SHORT else _packed)(t) for t in (a, b))
+    if x is None or y is None:
+        x, y = ((_short_set if len(t) <= SHORT else _set)(t) for t in (a, b))
+        both = len(x & y)
+    else:
+        merged = np.sort(np.concatenate([x, y]))
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
     return both / (len(x) + len(y) - both)
 
 
@@ -268,12 +286,12 @@ def unsettled(nodes: DataFrame, known: DataFrame, stars: DataFrame, block: int =
 
 def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     """How many members each two of the sets (arrays without repeats) have in common."""
-    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
-    met = times[where] > 1
-    place = (np.cumsum(times > 1) - 1)[where[met]]
-    row, order = row[met], np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], np.repeat(np.arange(len(sets)), list(map(len, sets)))[order]
+    again = np.concatenate([[False], every[1:] == every[:-1]])[: len(every)]
+    met = again | np.append(again[1:], False)[: len(every)]
+    row, place = row[met], np.cumsum(~again[met]) - 1
     out = np.zeros((len(sets), len(sets)), np.float64)
     width = int(place[-1]) + 1 if len(place) else 0
     columns = min(columns, max(width, 1))

@@ -137,3 +137,21 @@ def test_pairs_of_several_chunks_counted_at_once():
     assert [places.count(i) for i in range(len(lines))] == [len({t[i : i + ld.K] for i in range(max(1, len(t) - ld.K + 1))}) for t in lines]
     a, b = lines * 3, [x + "z" for x in lines * 3]
     assert len(a) > 2 * ld.CHUNK and ld.similar(a, b) == [i for i in range(len(a)) if ld.jaccard(a[i], b[i]) >= ld.LEAST]
+
+
+def test_jaccard_of_packed_shingles(monkeypatch):
+    rng = random.Random(12)
+    lines = ["", "ab", "ab\0", "abcdefg\0", "abcdefg", "éè" * 9, "ab" * 40, "abœ" * 12]
+    lines += ["".join(rng.choices(alphabet, k=rng.randrange(1, 1500))) for alphabet in ("ab\0", "aé", "aœ") for _ in range(8)]
+    plain = lambda t: {t[i : i + ld.K] for i in range(max(1, len(t) - ld.K + 1))}
+    for a in lines:
+        for b in lines:
+            assert ld.jaccard(a, b) == len(plain(a) & plain(b)) / len(plain(a) | plain(b))
+    ld._short_set.cache_clear()
+
+    def refuse(line):
+        raise AssertionError(line)
+
+    monkeypatch.setattr(ld, "_set", refuse)
+    monkeypatch.setattr(ld, "_short_set", refuse)
+    assert ld.jaccard("eine zeile über äpfel", "eine zeile über äpfel") == 1 and ld.jaccard("x" * 2000, "y" * 2000) == 0
